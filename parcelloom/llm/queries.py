@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parcelloom.llm.ngram_join import op1_ngram_jaccard_join
+from parcelloom.llm.quality_rules import op2_quality_rules
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_quality_rules": op2_quality_rules}
 ORACLE_SQL: dict[str, str] = {}

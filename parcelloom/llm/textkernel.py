@@ -89,6 +89,7 @@ class Words:
     end: np.ndarray
     data: np.ndarray  # uint8: the bytes of these texts
     offsets: np.ndarray  # int64: where each text begins in ``data``, and the end
+    sums: np.ndarray | None = None  # prefix sums of the fingerprint polynomial, but for a long text
 
     @property
     def texts(self) -> int:
@@ -117,11 +118,17 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of ``data``; no word crosses a value of ``bounds``."""
+def _span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    value = (sums[ends] - sums[starts]) * _BYTES.down[starts]
+    value += (ends - starts).astype(np.uint64) * _M2
+    return mix64(value)
+
+
+def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``data``, and the prefix sums; no word crosses a value of ``bounds``."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
     inside = table[data]
     before = np.empty(n + 1, dtype=bool)
     before[0], before[1:] = False, inside
@@ -131,16 +138,14 @@ def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool)
     after[:n], after[n] = inside, False
     after[bounds] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    up, down = _BYTES.upto(n)
+    up, _ = _BYTES.upto(n + 1)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     term = (_LOWER if lower else _SAME)[data].astype(np.uint64)
     term += np.uint64(1)
     term *= up[:n]
     np.cumsum(term, out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    value += (ends - starts).astype(np.uint64) * _M2
-    return mix64(value), starts, ends
+    return _span_hashes(sums, starts, ends), starts, ends, sums
 
 
 def _long(data: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +160,7 @@ def _long(data: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray,
                 to = max(at, to - 65536) + int(gaps[-1]) + 1
                 break
             to = min(to + 65536, len(data))
-        h, s, e = _scan(data[at:to], none, table, lower)
+        h, s, e, _ = _scan(data[at:to], none, table, lower)
         parts.append((h, s + at, e + at))
         at = to
     if not parts:
@@ -172,11 +177,12 @@ def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) ->
         hi = min(hi, n, lo + TEXTS)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if hi == lo + 1 and len(part) > PIECE:
-            h, s, e = _long(part, table, lower)
+            (h, s, e), sums = _long(part, table, lower), None
         else:
-            h, s, e = _scan(part, at, table, lower)
-        doc = np.searchsorted(at, s, "right") - 1
-        yield Words(lo, hi, doc, h, s, e, part, at)
+            h, s, e, sums = _scan(part, at, table, lower)
+        # a text's words lie between the first start at or after its offset and the next text's
+        doc = np.repeat(np.arange(hi - lo), np.diff(np.searchsorted(s, at)))
+        yield Words(lo, hi, doc, h, s, e, part, at, sums)
         lo = hi
 
 
@@ -209,6 +215,51 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, hash)`` of the lines that hold a word, in order; for words of ``SPACED`` as written."""
+    if w.sums is None:
+        h, start, end = _long(w.data, LINED, False)
+    else:
+        bounds = np.flatnonzero(w.data == 10)
+        start = np.sort(np.concatenate([w.offsets[:-1], bounds + 1]))
+        end = np.sort(np.concatenate([bounds, w.offsets[1:]]))
+        some = end > start
+        start, end = start[some], end[some]
+        h = _span_hashes(w.sums, start, end)
+    has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
+    h, start = h[has], start[has]
+    return np.searchsorted(w.offsets, start, "right") - 1, h
+
+
+def repeated(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each value is found more than once in its text."""
+    packed = doc.astype(np.uint64) << _SET_BITS | h >> np.uint64(12)
+    ordered = np.sort(packed)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return np.zeros(len(h), dtype=bool)
+    return again[np.minimum(np.searchsorted(again, packed), len(again) - 1)] == packed
+
+
+def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:
+    """Which of ``n`` words the windows of ``k`` words that begin at ``at`` cover."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.minimum(at + k, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def byte_classes(w: Words, table: np.ndarray, classes: int) -> np.ndarray:
+    """How many bytes of each class each text has."""
+    out = np.zeros((w.texts, classes), dtype=np.int64)
+    if w.texts == 1:
+        for lo in range(0, len(w.data), PIECE):
+            out[0] += np.bincount(table[w.data[lo : lo + PIECE]], minlength=classes)
+        return out
+    where = np.repeat(np.arange(w.texts, dtype=np.int32) * classes, np.diff(w.offsets))
+    return np.bincount(where + table[w.data], minlength=w.texts * classes).reshape(w.texts, classes)
+
+
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles of ``k`` words (52 bits), sorted within the text, and where each text's begin.
 
