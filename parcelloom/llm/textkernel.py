@@ -186,6 +186,27 @@ def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) ->
         lo = hi
 
 
+def word_counts(column: pa.Array, table: np.ndarray = SPACED) -> np.ndarray:
+    """The number of words of every text of a column."""
+    data, offsets = string_buffers(column)
+    out = np.zeros(len(offsets) - 1, dtype=np.int64)
+    for lo in range(0, len(data), PIECE):
+        piece = table[data[lo : lo + PIECE]]
+        new = piece.copy()
+        new[1:] &= ~piece[:-1]
+        if lo and table[data[lo - 1]]:
+            new[0] = False
+        a, b = np.searchsorted(offsets, lo, "left"), np.searchsorted(offsets, lo + len(piece), "left")
+        begins = offsets[a:b] - lo  # texts may begin amid what looks like a word
+        new[begins] = piece[begins]
+        starts = np.flatnonzero(new) + lo
+        first, last = max(0, int(np.searchsorted(offsets, lo, "right")) - 1), min(b, len(out))
+        edges = np.searchsorted(starts, offsets[first : last + 1])
+        edges[0] = 0
+        out[first:last] += np.diff(edges)
+    return out
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints of the ``len(hashes) - k + 1`` runs of ``k`` values."""
     n = len(hashes)
