@@ -56,7 +56,7 @@ class QualityRules:
 
     min_words: int = 50
     repeat_percent: int = 50
-    class_distance: float = 0.30
+    class_distance: float = 0.35
     class_min_chars: int = 200
     word_distance: float = 0.50
     word_min_words: int = 100
