@@ -6,6 +6,7 @@ from parcelloom.llm.mixing import op9_pivotal_mixing
 from parcelloom.llm.ngram_join import op1_ngram_jaccard_join
 from parcelloom.llm.quality_rules import op2_quality_rules
 from parcelloom.llm.sharding import op4_hypergeometric_sharding
+from parcelloom.llm.token_output import op5_rans_token_output
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_hypergeometric_sharding, op9_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_hypergeometric_sharding, op5_rans_token_output, op9_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
