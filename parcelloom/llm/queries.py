@@ -7,6 +7,7 @@ from parcelloom.llm.ngram_join import op1_ngram_jaccard_join
 from parcelloom.llm.quality_rules import op2_quality_rules
 from parcelloom.llm.sharding import op4_hypergeometric_sharding
 from parcelloom.llm.token_output import op5_rans_token_output
+from parcelloom.llm.warc import OP8_SQL, op8_chunked_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_hypergeometric_sharding, op5_rans_token_output, op9_pivotal_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_hypergeometric_sharding, op5_rans_token_output, op8_chunked_warc, op9_pivotal_mixing)}
+ORACLE_SQL: dict[str, str] = {"op8_chunked_warc": OP8_SQL}
