@@ -40,11 +40,12 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = written(e, "edges")
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written before they are joined back, so that a hub's edges can be split over tasks
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         # large star: neighbours above a node go to the node's smallest neighbour
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: a node and its lower neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         new = written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
         # stars around the smallest: no node has two parents and no parent has a parent

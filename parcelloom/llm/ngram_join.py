@@ -27,9 +27,9 @@ from parcelloom.llm.components import connected, local_components
 from parcelloom.llm.shared import parts_for, written
 
 #: Rows, and shingles in all, of a part of a row block.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2 << 20
-#: Columns that are multiplied at a time.
-COLUMNS = 2048
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2 << 20
+#: Rows of a tile of the product, and columns that are multiplied at a time.
+TILE, COLUMNS = 1024, 2048
 
 
 class SizeClasses:
@@ -207,25 +207,61 @@ def _rows(k: int):
     return run
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of sets ``a`` with sets ``b``, or with one another, a block of columns at a time."""
-    rows = a if b is None else a + b
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+def links(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, of ``one`` with ``two`` or (each once) of ``one`` with itself, with similarity ``num / den`` or more.
+
+    The product is made a tile of rows by rows at a time, and summed over blocks of columns.  Rows go by size,
+    so tiles whose sizes can't be similar are skipped.  Columns with one entry add nothing and are left out.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    col = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
     new = tk.first_of_runs(col)
     shared = ~new | np.append(~new[1:], False)
     row, number = row[shared], np.cumsum(new[shared]) - 1
-    out = np.zeros((len(a), len(a) if b is None else len(b)), dtype=np.int32)
-    columns = int(number[-1]) + 1 if len(number) else 0
-    for lo in range(0, columns, COLUMNS):
-        i, j = np.searchsorted(number, (lo, lo + COLUMNS))
-        m = np.zeros((len(rows), min(COLUMNS, columns - lo)), dtype=np.float32)
-        m[row[i:j], number[i:j] - lo] = 1
-        left = m[: len(a)]
-        out += (left @ (left if b is None else m[len(a) :]).T).astype(np.int32)
-    return out
+    back = np.argsort(row, kind="stable")  # by row, columns in order
+    row, number = row[back], number[back].astype(np.int64)
+    begin = np.searchsorted(row, np.arange(len(sets) + 1))
+    one = one[np.argsort(size[one], kind="stable")]
+    two = None if two is None else two[np.argsort(size[two], kind="stable")]
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = begin[rows + 1] - begin[rows]
+        at = np.arange(int(n.sum())) + np.repeat(begin[rows] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(rows)), n), number[at]
+
+    other = one if two is None else two
+    for a in range(0, len(one), TILE):
+        left = one[a : a + TILE]
+        r1, c1 = entries(left)
+        for b in range(a if two is None else 0, len(other), TILE):
+            right = other[b : b + TILE]
+            low, high = sorted(((size[left[0]], size[left[-1]]), (size[right[0]], size[right[-1]])))
+            if low[1] * den < high[0] * num:
+                continue
+            r2, c2 = entries(right)
+            # only columns that both tiles have
+            columns = np.intersect1d(c1, c2)
+            k1, k2 = np.searchsorted(columns, c1), np.searchsorted(columns, c2)
+            in1 = columns[np.minimum(k1, len(columns) - 1)] == c1 if len(columns) else np.zeros(len(c1), bool)
+            in2 = columns[np.minimum(k2, len(columns) - 1)] == c2 if len(columns) else np.zeros(len(c2), bool)
+            both = np.zeros((len(left), len(right)), dtype=np.int64)
+            for lo in range(0, len(columns), COLUMNS):
+                wide = min(COLUMNS, len(columns) - lo)
+                m1, m2 = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+                use = in1 & (k1 >= lo) & (k1 < lo + wide)
+                m1[r1[use], k1[use] - lo] = 1
+                use = in2 & (k2 >= lo) & (k2 < lo + wide)
+                m2[r2[use], k2[use] - lo] = 1
+                both += (m1 @ m2.T).astype(np.int64)
+            # the bound that the sizes give: |A & B| >= t / (1 + t) * (|A| + |B|)
+            near = (both > 0) & (both * (den + num) >= (size[left][:, None] + size[right][None, :]) * num)
+            if two is None and a == b:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            yield left[i], right[j]
 
 
 def _product(num: int, den: int):
@@ -234,25 +270,15 @@ def _product(num: int, den: int):
         order = [i for n, i in enumerate(order) if not n or ids[i] != ids[order[n - 1]] or not np.array_equal(sets[i], sets[order[n - 1]])]
         ids, side, copies = np.array(ids)[order], np.array(side)[order], np.array(copies)[order]
         sets = [sets[i] for i in order]
-        size = np.array([len(x) for x in sets])
-        one = np.flatnonzero(side == 0)
-        if (side == 1).any():
-            two = np.flatnonzero(side == 1)
-            both = overlaps([sets[i] for i in one], [sets[i] for i in two])
-        else:
-            two, both = one, overlaps([sets[i] for i in one], None)
-            np.fill_diagonal(both, 0)
-        link = np.zeros(both.shape, dtype=bool)
-        for lo in range(0, len(one), 256):
-            some = both[lo : lo + 256].astype(np.int64)
-            link[lo : lo + 256] = (some > 0) & (some * (den + num) >= (size[one][lo : lo + 256, None] + size[two][None, :]) * num)
-        i, j = np.nonzero(link)
-        links = np.zeros(len(ids), dtype=np.int64)
-        links[one] += link @ copies[two]
-        if len(two) and two is not one:
-            links[two] += link.T @ copies[one]
-        root = local_components(len(ids), one[i], two[j])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links)], names=["doc_id", "near", "links"])
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        degree = np.zeros(len(ids), dtype=np.int64)
+        root = np.arange(len(ids))
+        if len(one):
+            for i, j in links(sets, one, two if len(two) else None, num, den):
+                degree += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+                degree += np.bincount(j, weights=copies[i], minlength=len(ids)).astype(np.int64)
+                root = local_components(len(ids), np.concatenate([np.arange(len(ids)), i]), np.concatenate([root, j]))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(degree)], names=["doc_id", "near", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -295,7 +321,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     members = members.join(of_block.select("root", cut.alias("cut")), "root")
     members = members.select(F.col("node").alias("doc_id"), "root", "copies", "cut", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int").alias("own"))
-    rows = docs.join(written(members.dropDuplicates(["doc_id"]), "members"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
+    # a merge join at every size: texts move once, and nothing that grows with the input is broadcast
+    rows = docs.join(written(members.dropDuplicates(["doc_id"]), "members").hint("merge"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
     rows = rows.mapInArrow(_rows(k), "doc_id long, root long, copies long, cut int, own int, body binary")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), F.when(F.col("own") > x, 1).otherwise(0).alias("side"))))
     rows = rows.select("doc_id", "root", "copies", "body", pair.alias("p")).select(F.col("root").alias("block"), "p.i", "p.j", "p.side", "doc_id", "copies", "body")
