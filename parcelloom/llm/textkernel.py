@@ -186,6 +186,15 @@ def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) ->
         lo = hi
 
 
+def all_words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a whole column's words, each word's text, and where each text's words begin (and the end)."""
+    parts = [(w.hash, w.doc + w.lo, w.counts()) for w in words(column, table, lower)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    h, doc, counts = (np.concatenate(x) for x in zip(*parts))
+    return h, doc, np.concatenate([[0], np.cumsum(counts)])
+
+
 def word_counts(column: pa.Array, table: np.ndarray = SPACED) -> np.ndarray:
     """The number of words of every text of a column."""
     data, offsets = string_buffers(column)
