@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelloom.llm.shared import written
+from parcelloom.llm.shared import numbered, restored, written
 
 #: Bytes of windows that are broadcast at most; beyond them the table is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -95,7 +95,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent:
 
     Rows without hits are as they were.  The columns are those of ``docs``.
     """
-    names = docs.columns
+    docs, names = numbered(docs)
+    doc_id, text = names[doc_id], names[text]
     hits = _judged(_hits(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_t")), benchmark, n).where(F.size("spans") > 0), percent)
     hits = written(hits.select(F.col("_id").alias("_hit_id"), F.col("_text").alias("_hit_text"), F.when(~F.col("contaminated"), F.col("spans")).alias("_spans"), F.col("contaminated").alias("_out")), "hits")
     joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("_hit_text")), "left")
@@ -103,8 +104,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent:
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{_GAP}*[^{_GAP[1:-1]}]+|{_GAP}+$"), F.lit(0))
     rest = F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["len"])))
     clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(rest, ""))
-    joined = joined.where("_out is null or not _out").withColumn(text, clean)
-    return joined.select(*names)
+    return restored(joined.where("_out is null or not _out").withColumn(text, clean), names)
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelloom.llm import textkernel as tk
-from parcelloom.llm.shared import written
+from parcelloom.llm.shared import numbered, restored, written
 
 #: Probabilities are multiples of 1 / ONE.
 ONE = 1 << 30
@@ -152,15 +152,15 @@ def mix(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: int = 17,
     ``weights`` maps the list of sources to a weight for each.  Sizes are words; a null, empty or blank text
     has none and is taken as its source's whole part says, which adds no words.  A null source is a source.
     Outcomes depend on the seed, the key and the size of a row, so reruns agree; rows that repeat key and
-    size are interchangeable.  Columns of these names are replaced.  An empty table gives an empty result.
+    size are interchangeable.  Columns with these four names are replaced, other columns stay.  An empty table gives an empty result.
     The sources are the keys of a parameter; more than ``MAX_SOURCES`` raise a ValueError.
     """
     spark = docs.sparkSession
-    own = ("_copies", "_size", "_source_size", "_target", "_src", "_bucket", "_key", "_mass")
-    docs = docs.drop(*own)
-    sized = with_words(docs, text) if text else docs
+    docs, names = numbered(docs)
+    doc_id, text, source = (names[c] for c in (doc_id, text, source))
     totals = with_words(docs.select(source, text), text).groupBy(F.col(source).alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    return _mixed(spark, sized, totals, weights, most, seed, doc_id, source)
+    out = _mixed(spark, with_words(docs, text), totals, weights, most, seed, doc_id, source)
+    return restored(out, names, "_copies", "_size", "_source_size", "_target")
 
 
 def _mixed(spark, sized: DataFrame, totals: list, weights, most: int, seed: int, doc_id: str, source: str) -> DataFrame:
@@ -199,10 +199,11 @@ def _mixed(spark, sized: DataFrame, totals: list, weights, most: int, seed: int,
     return out.drop("_src", "_bucket", "_key", "_mass")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns."""
-    taken = mix(docs, **options).where("_copies > 0")
-    return taken.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns (see ``mix``)."""
+    plain, names = numbered(docs)
+    taken = mix(plain, weights, most, seed, names[doc_id], names[text], names[source]).where("_copies > 0")
+    return restored(taken.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))), names)
 
 
 def op9_pivotal_mixing(spark, sf_dir: str) -> DataFrame:

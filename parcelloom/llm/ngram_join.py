@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parcelloom.llm import textkernel as tk
 from parcelloom.llm.components import connected, local_components
-from parcelloom.llm.shared import parts_for, written
+from parcelloom.llm.shared import numbered, parts_for, restored, written
 
 #: Rows, and shingles in all, of a part of a row block.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2 << 20
@@ -337,6 +337,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.unionByName(lost)
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, with their columns.
+
+    Rows without a doc_id stay; rows that repeat a doc_id go or stay together.
+    """
+    docs, names = numbered(docs)
+    key = names[doc_id]
+    found = ngram_jaccard_join(docs, k, num, den, key, names[text])
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return restored(docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("_gone"), "left_anti"), names)
+
+
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelloom.llm.shared import parts_for, written
+from parcelloom.llm.shared import numbered, parts_for, restored, written
 
 #: Rows of a partition or of a bucket, about, and the most of either; the matrix has shards times partitions entries.
 EACH, MOST = 16384, 65536
@@ -82,7 +82,8 @@ def uniform_shards(df: DataFrame, shards: int, key: list, seed: int = 11) -> Dat
     table gives an empty result.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
+    df, names = numbered(df)
+    key = [names[c] for c in key]
     parts = parts_for(df.count(), EACH, 24, MOST)
     at = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int")
     counts = {r["_part"]: r["n"] for r in df.select(at.alias("_part")).groupBy("_part").agg(F.count("*").alias("n")).collect()}
@@ -107,7 +108,7 @@ def uniform_shards(df: DataFrame, shards: int, key: list, seed: int = 11) -> Dat
     within = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_r2", "_part", "_rank"))
     # at most a row for each bucket: no more than MOST in all
     placed = dealt.withColumn("_in", within).join(F.broadcast(sums), ["shard", "_bucket"])
-    return placed.withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long")).select(*df.columns, "shard", "slot")
+    return restored(placed.withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long")), names, "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, shards: int, key: list, seed: int = 11) -> None:

@@ -9,6 +9,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -34,6 +35,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by their numbers, so that no name of ours meets one of theirs; new names by old."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns of ``numbered`` under their old names, and some more in place of any of theirs with that name."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items() if c not in more), *more)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder, from the driver or an executor."""
     if "://" in uri or uri.startswith("file:"):
