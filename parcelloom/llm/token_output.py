@@ -5,7 +5,7 @@ A task encodes its documents with the tokenizer and writes a segment file whenev
 ``SEGMENT_TOKENS`` ids, and at its end.  Files have names of their own for each attempt; those that the
 manifest names are the valid ones.  Reading takes the manifest, in which each file has its place.
 
-White space separates tokens of these tokenizers, so each distinct word of a batch is encoded once.
+A tokenizer that drops white space encodes each distinct word once, not once for each time it stands in a text.
 """
 
 from __future__ import annotations
@@ -25,58 +25,100 @@ from parcelloom.llm import textkernel as tk
 from parcelloom.llm.shared import filesystem, parts_for, shared_dir, written
 
 SEGMENT_TOKENS = 4 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 1 << 20
+#: Words whose ids a Python worker remembers from task to task, and bytes of text that are encoded at a time.
+REMEMBERED, AT_ONCE = 2 << 20, 4 << 20
+#: A word that no other text shares a token with; words that hold it are encoded one by one.
+_MARK = "\x01"
+_ENCODERS: dict = {}
 
 
-class WordEncoder:
-    """Ids of whole texts from the ids of their words, which are kept by the words' fingerprints."""
+class TextEncoder:
+    """Ids of whole texts.
+
+    If the tokenizer drops white space, texts are put together from the ids of their words, which are kept by
+    the words' fingerprints; new words are encoded many to a line, with marks between them.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        a, b, both, mark = (self._ids([x])[0] for x in ("a", "b", f" a\t{_MARK} \nb ", _MARK))
+        self.by_word = len(mark) == 1 and both == [*a, *mark, *b]
+        self.mark = mark[0] if mark else -1
         self._forget()
 
-    def _forget(self) -> None:
-        self.known, self.begin, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.number = np.zeros(0, np.int64)
+    @classmethod
+    def of(cls, path: str) -> "TextEncoder":
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
-    def _learn(self, w: tk.Words, h: np.ndarray, first: np.ndarray) -> None:
-        if len(self.known) + len(h) > REMEMBERED:
-            self._forget()
-            h, first = np.unique(w.hash, return_index=True)
-        texts = [w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8") for i in first]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        number = np.array([len(x) for x in found], dtype=np.int64)
-        begin = len(self.ids) + np.concatenate([np.zeros(1, np.int64), np.cumsum(number)[:-1]])[: len(number)]
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
-        known, order = np.concatenate([self.known, h]), None
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.begin, self.number = np.concatenate([self.begin, begin])[order], np.concatenate([self.number, number])[order]
-
-    def encode(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.number, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = self._ids([f" {_MARK} ".join([*texts[i : i + 64], ""]) for i in range(0, len(texts), 64)])
+        ids = np.concatenate([np.array(x, dtype=np.uint32) for x in lines])
+        ends = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._ids(texts)
+        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+        odd = np.array([_MARK in t for t in texts])
+        for use, encode in ((~odd, self._encode_words), (odd, self._one_by_one)):
+            if use.any():
+                ids, number = encode([t for t, u in zip(texts, use.tolist()) if u])
+                begin = len(self.ids) + np.cumsum(number) - number
+                at = np.searchsorted(self.known, h[use])
+                self.known, self.begin, self.number = np.insert(self.known, at, h[use]), np.insert(self.begin, at, begin), np.insert(self.number, at, number)
+                self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and how many each has."""
-        if not len(w.hash):
-            return np.zeros(0, np.uint32), np.zeros(w.texts, np.int64)
-        h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        if not self.by_word:
+            return self._one_by_one(column.fill_null("").to_pylist())
+        hashes, counts, spelled = [], [], {}
+        for w in tk.words(column):
+            h, first = np.unique(w.hash, return_index=True)
+            new = ~self._knows(h)
+            raw = w.data
+            for x, i in zip(h[new].tolist(), first[new].tolist()):
+                if x not in spelled:
+                    spelled[x] = raw[w.start[i] : w.end[i]].tobytes()
+            hashes.append(w.hash)
+            counts.append(w.counts())
+        if not hashes or not sum(map(len, hashes)):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        if spelled:
+            if len(self.known) + len(spelled) > REMEMBERED and len(self.known):
+                self._forget()
+                return self.encode(column)
+            h = np.sort(np.array(list(spelled), dtype=np.uint64))
+            self._learn(h, [spelled[x].decode("utf-8") for x in h.tolist()])
+        h, n = np.concatenate(hashes), np.concatenate(counts)
         at = np.searchsorted(self.known, h)
-        new = np.ones(len(h), dtype=bool)
-        inner = at < len(self.known)
-        new[inner] = self.known[at[inner]] != h[inner]
-        if new.any():
-            self._learn(w, h[new], first[new])
-            at = np.searchsorted(self.known, h)
-        begin, number = self.begin[at][inverse], self.number[at][inverse]
+        begin, number = self.begin[at].astype(np.int64), self.number[at].astype(np.int64)
         total = np.cumsum(number)
-        place = np.arange(int(total[-1])) + np.repeat(begin - (total - number), number)
-        return self.ids[place], np.bincount(w.doc, weights=number, minlength=w.texts).astype(np.int64)
+        ids = self.ids[np.arange(int(total[-1])) + np.repeat(begin - (total - number), number)]
+        ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(n)])]
+        return ids, np.diff(ends)
+
+    def _knows(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(h), dtype=bool)
+        return self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h
 
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = TextEncoder.of(tokenizer)
         fs, path = filesystem(folder)
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -99,15 +141,17 @@ def _write(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             # a null id is written as the least number, which comes first as nulls do
             doc = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            for w in tk.words(batch.column(1)):
-                got, n = encoder.encode(w)
-                ends = np.cumsum(n)
-                ids.append(np.insert(got, ends, end_id).astype(np.uint32))
-                docs.append(doc[w.lo : w.hi])
+            at, lo = tk.string_buffers(batch.column(1))[1], 0
+            while lo < len(doc):
+                hi = min(len(doc), max(lo + 1, int(np.searchsorted(at, at[lo] + AT_ONCE, "right")) - 1))
+                got, n = encoder.encode(batch.column(1).slice(lo, hi - lo))
+                ids.append(np.insert(got, np.cumsum(n), end_id).astype(np.uint32))
+                docs.append(doc[lo:hi])
                 counts.append(n + 1)
                 held += len(ids[-1])
                 if held >= SEGMENT_TOKENS:
                     yield flush()
+                lo = hi
         if held:
             yield flush()
 
