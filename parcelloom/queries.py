@@ -519,6 +519,103 @@ def wkb_rows(g):
     return g.geoms.select("idx", F.octet_length(wkb_column(F.col("geom"))).alias("bytes"))
 
 
+# ---- outlines: areas of traced rings in square degrees, which add up cell by cell ----
+
+
+def _areas(geoms: DataFrame, key: str) -> DataFrame:
+    rings = geoms.select(key, F.explode(F.flatten("geom")).alias("ring"))
+    return rings.groupBy(key).agg(F.round(F.sum(measure.signed_area(F.col("ring"))) / 2, 6).alias("area"), F.count("*").alias("rings"))
+
+
+@query("SELECT district, round(count(*) * 0.0001::DOUBLE, 6) AS area FROM p GROUP BY 1")
+def district_outlines(g):
+    from parcelloom.operators.outline import dissolved
+
+    return _areas(dissolved(g.segments(), _plan(g), ["chain", "district"]), "district").drop("rings")
+
+
+@query("SELECT CAST(1 AS INTEGER) AS k, round(16 * 0.0001::DOUBLE, 6) AS area, CAST(2 AS BIGINT) AS rings FROM u WHERE idx = 0")
+def outline_with_hole(g):
+    from parcelloom.operators.outline import dissolved
+
+    members = g.units.where(_RING).select("idx", F.lit(1).alias("k"))
+    return _areas(dissolved(g.segments(), members, ["k"]), "k")
+
+
+@query("SELECT CAST(1 AS INTEGER) AS k, round(25 * 0.0001::DOUBLE, 6) AS area FROM u WHERE idx = 0")
+def outline_hull(g):
+    from parcelloom.operators.outline import hulls
+
+    members = g.units.where(_RING).select("idx", F.lit(1).alias("k"))
+    return _areas(hulls(g.segments(), members, ["k"]), "k").drop("rings")
+
+
+@query("SELECT idx, round(0.0001::DOUBLE, 6) AS area FROM u")
+def simplified_units(g):
+    from parcelloom.operators.outline import simplified_geoms
+
+    return _areas(simplified_geoms(g.segments(), 1e-5), "idx").drop("rings")
+
+
+@query("SELECT zoom, x, y, features FROM (SELECT CAST(10 AS INTEGER) AS zoom, x, y, CAST(count(*) AS INTEGER) AS features FROM (" + _TILE.replace("4096", "1024") + ") GROUP BY x, y)")
+def vector_tiles(g):
+    from parcelloom.sources.tiles import tiles
+
+    return tiles(g.units, g.geoms, Derived.of(g).geom, "block", 10).select("zoom", "x", "y", "features")
+
+
+# ---- searches: chains are random, so what must hold of any plan is returned ----
+
+
+def _searched(g: GridMap, n: int, search) -> DataFrame:
+    """``chain, district, units, pop, components`` of four chains from random plans."""
+    from parcelloom.operators import search as s
+    from parcelloom.storage import table
+
+    d = Derived.of(g)
+    area = _with_area(g)
+    graph = s.Graph.collect(area, d.edges, d.outer(), ["pop", "dem", "rep", "area_m2"])
+    found = table(s.ensemble(g.units.sparkSession, graph, n, 4, 7, search), "chains")
+    plan = s.plans_of(found)
+    sums = districts.totals(g.units.withColumn("units", F.lit(1)), plan, ["units", "pop"], n)
+    return sums.join(districts.contiguity(d.edges, plan, n).select("chain", "district", "components"), ["chain", "district"])
+
+
+@query()
+def search_randomize(g):
+    return _searched(g, 6, lambda c: None)
+
+
+@query()
+def search_equalize(g):
+    return _searched(g, 6, lambda c: c.equalize("pop", 0.02, 200) and None)
+
+
+@query()
+def search_anneal_balance(g):
+    return _searched(g, 6, lambda c: c.anneal_balance("pop", 3000, 100.0, 0.01, 0.01))
+
+
+@query()
+def search_tabu_balance(g):
+    return _searched(g, 6, lambda c: c.tabu_balance("pop", 200, 20, 0.05, 8))
+
+
+@query()
+def search_recombine(g):
+    return _searched(g, 6, lambda c: c.recombine_some(20, "pop"))
+
+
+@query()
+def search_anneal(g):
+    from parcelloom.operators.search import AnnealOptions, Phase, anneal
+
+    o = Objective([Metric.deviation_sharp("pop"), Metric.compactness()], [3.0, 1.0])
+    return _searched(g, 6, lambda c: anneal(c, [Phase(o, 0.4, 0.05, 0.1)], AnnealOptions(max_iter=3000)))
+
+
+# ---- logs and streams ----
+
 _RUNS = """SELECT CAST(phase AS INTEGER) AS phase, CAST(min(event_id) AS BIGINT) AS first_event, count(*) AS events FROM (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM (SELECT event_id, phase, CASE WHEN phase = lag(phase) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM (SELECT event_id, event_id // 100 % 3 AS phase FROM events))) GROUP BY phase, run"""
 
 
@@ -532,6 +629,31 @@ def phase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["phase_islands"], SQL["phase_islands"] = phase_islands, _RUNS
 
 
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelloom.operators.trace import log_line, parsed
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000")
+    rows = e.select(F.lit(0).alias("chain"), F.col("event_id").alias("iter"), F.lit(1).alias("phase"), F.col("value").alias("obj"), F.col("value").alias("best"), F.lit(0.5).alias("temp"), F.lit(0.25).alias("prob"), F.create_map(F.lit("m"), F.col("value")).alias("metrics"))
+    return parsed(log_line(rows)).select("iter", "phase", F.round("obj", 2).alias("obj"), "temp", "prob")
+
+
+QUERIES["log_parse"] = log_parse
+SQL["log_parse"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events WHERE event_id < 5000"
+
+
+def move_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelloom.streaming.moves import move_totals
+
+    moves = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("user_id").cast("int").alias("idx"), (F.col("event_id") % 5).cast("int").alias("src"), (F.col("event_id") % 3 + 5).cast("int").alias("dst"))
+    units = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("idx"), F.col("c_nationkey").cast("long").alias("pop"))
+    return move_totals(moves, units, "pop", every="1 day").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+QUERIES["move_log_totals"] = move_log_totals
+SQL["move_log_totals"] = """SELECT strftime(ts, '%Y-%m-%d') AS start, district, CAST(sum(w) AS BIGINT) AS gain, count(*) AS moves FROM (
+  SELECT ts, CAST(event_id % 5 AS INTEGER) AS district, -c_nationkey AS w FROM events JOIN customer ON c_custkey = user_id UNION ALL SELECT ts, CAST(event_id % 3 + 5 AS INTEGER), c_nationkey FROM events JOIN customer ON c_custkey = user_id) GROUP BY 1, 2"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compactness and population deviation of each district of a plan, from polygons."""
     g = grid_map(spark, sf_dir)

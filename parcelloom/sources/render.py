@@ -32,9 +32,9 @@ class Viewport:
 
 def svg_path(geom: Column, view: Viewport) -> Column:
     """All rings of a geometry as a path of three decimals; the closing point of a ring is left out."""
-    point = lambda p: F.format_string("%.3f,%.3f", F.abs(view.x(p["x"])), F.abs(view.y(p["y"])))
+    point = lambda p: F.format_string("%.3f,%.3f", view.x(p["x"]), view.y(p["y"]))
     ring = lambda r: F.concat(F.lit("M "), F.array_join(F.transform(F.slice(r, 1, F.size(r) - 1), point), " L "), F.lit(" Z"))
-    return F.array_join(F.transform(F.flatten(geom), ring), " ")
+    return F.regexp_replace(F.array_join(F.transform(F.flatten(geom), ring), " "), r"-0\.000", "0.000")
 
 
 def svg_points(geom: Column, view: Viewport) -> Column:

@@ -137,4 +137,4 @@ def tiles(units: DataFrame, geoms: DataFrame, unit_geom: DataFrame, layer: str,
         if found:
             yield pa.RecordBatch.from_pydict({"zoom": pa.array([zoom], pa.int32()), "x": pa.array([key[0]], pa.int32()), "y": pa.array([key[1]], pa.int32()), "tile": pa.array([encode_tile(layer, sorted(found, key=lambda f: f[0]), zoom, *key)], pa.binary()), "features": pa.array([len(found)], pa.int32())})
 
-    return rows.select("x", "y", "geo_id", "geom").groupBy("x", "y").applyInArrow(lambda batches: run(batches), "zoom int, x int, y int, tile binary, features int")
+    return rows.select("x", "y", "geo_id", "geom").groupBy("x", "y").applyInArrow(run, "zoom int, x int, y int, tile binary, features int")
