@@ -2,8 +2,9 @@
 
 Three scans of the texts, and no shuffle of texts:
 
-1.  Each batch names the words that make up at least 1/``rarest`` of its words of a language.  A word with
-    that share of the whole corpus has it in some batch, so none is missed however rows are dealt.
+1.  Each task names the words that make up at least 1/``rarest`` of its words of a language, from a summary of
+    bounded size (Misra-Gries) that misses none of them.  A word with that share of the whole corpus has it
+    in some task, so none is missed however rows are dealt.
 2.  Exact counts of these words, and of character classes, per language over all documents.  A language's
     reference is its class histogram and the shares of its most frequent words.
 3.  Per document the base counts, and the Jensen-Shannon distance (base 2, 0 to 1) of its class histogram
@@ -71,24 +72,37 @@ def _languages(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
     return [*names.dictionary.to_pylist(), None], code
 
 
+#: Words that a task's summary of a language holds.  A count is too low by at most 1/SUMMARY of all words.
+SUMMARY = 8192
+
+
 def _frequent(rarest: int):
+    def reduced(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, where = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([x for _, x in parts])).astype(np.int64)
+        if len(n) > SUMMARY:
+            n = n - np.partition(n, len(n) - SUMMARY - 1)[len(n) - SUMMARY - 1]
+        return h[n > 0], n[n > 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary: dict = {}
+        totals: dict = {}
         for batch in batches:
             names, code = _languages(batch)
-            found: dict[int, list] = {}
             for w in tk.words(batch.column(2)):
-                raw = w.data
-                lang = code[w.lo : w.hi][w.doc]
-                for c in np.unique(lang):
-                    own = lang == c
-                    h, first, n = np.unique(w.hash[own], return_index=True, return_counts=True)
-                    often = np.flatnonzero(n * rarest >= own.sum())
-                    at = np.flatnonzero(own)[first[often]]
-                    found.setdefault(int(c), []).extend((int(h[j]), raw[w.start[i] : w.end[i]].tobytes()) for j, i in zip(often, at) if w.end[i] - w.start[i] <= 256)
-            rows = [(names[c], *x) for c, xs in found.items() for x in set(xs)]
-            if rows:
-                lang, h, word = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.array(h, np.uint64).astype(np.int64)), pa.array(word, pa.binary())], names=["lang", "hash", "word"])
+                lang = code[w.lo : w.hi]
+                for c in np.unique(lang).tolist():
+                    own = w.hash[(lang == c)[w.doc]]
+                    totals[names[c]] = totals.get(names[c], 0) + len(own)
+                    parts = summary.setdefault(names[c], [])
+                    parts.append(np.unique(own, return_counts=True))
+                    if len(parts) >= 32:
+                        summary[names[c]] = [reduced(parts)]
+        for name, parts in summary.items():
+            h, n = reduced(parts)
+            h = h[(n + totals[name] // SUMMARY + 1) * rarest >= totals[name]]
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.astype(np.int64))], names=["lang", "hash"])
 
     return run
 
@@ -142,14 +156,13 @@ def _totals(tables):
 def references(docs: DataFrame, rules: QualityRules) -> dict:
     """For each language with enough words: its class shares, its common words' hashes (sorted) and their shares."""
     spark = docs.sparkSession
-    words = written(docs.mapInArrow(_frequent(rules.rarest), "lang string, hash long, word binary").distinct(), "frequent")
-    # at most rarest words a batch; a language's final table has at most ``common``
+    words = written(docs.mapInArrow(_frequent(rules.rarest), "lang string, hash long").distinct(), "frequent")
+    # a task names little more than ``rarest`` words of a language
     seen = spark.sparkContext.broadcast(_tables([(r["lang"], r["hash"]) for r in words.toLocalIterator()]))
     sums = written(docs.mapInArrow(_totals(seen), "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "totals")
     size = sums.where("kind = 0").select(F.col("lang").alias("l0"), F.col("n").alias("words")).where(F.col("words") >= rules.reference_min_words)
     rows = sums.join(F.broadcast(size), F.col("lang").eqNullSafe(F.col("l0")))
     shares = rows.where(f"kind = 1 or kind = 2 and n * {rules.rarest} >= words").collect()
-    spelled = {(r["lang"], r["hash"]): bytes(r["word"]) for r in words.toLocalIterator()}
     out: dict = {}
     for lang in {r["lang"] for r in shares}:
         own = [r for r in shares if r["lang"] == lang]
@@ -158,7 +171,7 @@ def references(docs: DataFrame, rules: QualityRules) -> dict:
         for r in own:
             if r["kind"] == 1:
                 classes[r["item"]] = r["n"]
-        common = sorted((r for r in own if r["kind"] == 2), key=lambda r: (-r["n"], spelled[lang, r["item"]]))[: rules.common]
+        common = sorted((r for r in own if r["kind"] == 2), key=lambda r: (-r["n"], r["item"]))[: rules.common]
         common = sorted((int(np.int64(r["item"]).astype(np.uint64)), r["n"]) for r in common)
         share = np.array([n for _, n in common] + [total - sum(n for _, n in common)], dtype=float) / total
         classes = classes[COUNTED]
