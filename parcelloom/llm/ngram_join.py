@@ -2,10 +2,13 @@
 
 1.  One scan makes each text's set of word shingles, its size and a fingerprint of the whole set.  Texts
     with equal sets are one class from there on, however many copies there are.
-2.  Blocking, without loss: two sets with similarity t differ in at most 2M(1-t)/(1+t) shingles if neither
-    has more than M.  Within a size class the shingles' hash range is cut into more ranges than that, so
-    two similar sets agree on all of some range.  Equal ranges meet in a shuffle of packed keys; each task
-    reduces what met to a spanning forest.  The components of all forests are the row blocks.
+2.  Blocking, without loss: a set of n shingles differs from a larger one of similarity t in at most n(1-t)/t
+    shingles, and from a smaller one in at most 2n(1-t)/(1+t).  The shingles' hash range is cut, by size class,
+    into so many ranges that more of them hold several of a set's shingles than that; so two similar sets agree
+    on all shingles of such a range.  Few sets have too few such ranges; those also give single shingles, a
+    prefix in hash order.  Equal ranges meet in a shuffle of packed keys; each task reduces what met to a
+    spanning forest.  The components of all forests are the row blocks.  Ranges of one shingle make no
+    keys, as texts with a passage in common would all hang together by them.
 3.  Within a row block the product of the incidence matrix with its transpose is summed over blocks of
     columns; entries below the bound that the two sizes give are discarded, the others are links.  A block
     of many or large rows is cut, and each pair of its parts is a task of its own.  Tasks give each row's
@@ -15,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,13 @@ class SizeClasses:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.low = np.array([1], dtype=np.int64)
+        # mean shingles of a range in the largest sets of a class: as many as leave a fifth more ranges with
+        # two or more, by Poisson's law, than similar sets can differ in
+        self.load, x = 1.8, 1.8
+        while x < 12:
+            if (1 - (1 + x) * math.exp(-x)) / x >= 1.22 * 2 * (den - num) / (den + num):
+                self.load = x
+            x += 0.05
 
     def upto(self, n: int) -> None:
         low = list(self.low)
@@ -49,24 +60,25 @@ class SizeClasses:
         self.upto(int(n.max(initial=1)))
         return np.searchsorted(self.low, n, "right") - 1
 
-    def differ(self, c: np.ndarray) -> np.ndarray:
-        """Most shingles in which two similar sets differ if the larger is of class ``c``."""
-        most = self.low[c] * self.den // self.num
-        return 2 * most * (self.den - self.num) // (self.den + self.num)
+    def ranges(self, c: np.ndarray) -> np.ndarray:
+        """Into how many ranges sets are cut where the larger one of a pair is of class ``c``."""
+        return np.maximum(1, np.ceil(self.low[c] * self.den // self.num / self.load)).astype(np.int64)
 
 
 def range_keys(h: np.ndarray, at: np.ndarray, sizes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
     """``(text, key)`` such that two texts with similar sets have a key in common.
 
     ``h`` holds the sorted 52-bit shingles of each text, ``at`` where each text's begin.  Each set is cut
-    for its own class and for the next one, as the larger set of a pair decides.  A set with so many empty
-    ranges that all the equal ones may be empty also gives its smallest shingles (as many as a similar set
-    cannot all lack).
+    for its own class and for the next one, as the larger set of a pair decides.  A pair has a range of two
+    or more shingles in common if the larger set has more of them than it can differ in from a smaller one, or
+    the smaller more than it can differ in from a larger one; sets that fail as either give their smallest
+    shingles too, as many as a similar set cannot all lack.
     """
     n = np.diff(at)
     some = np.flatnonzero(n)
     if not len(some):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    num, den = sizes.num, sizes.den
     text = np.repeat(np.arange(len(n)), n)
     scrambled = tk.mix64(h)
     out_text, out_key = [], []
@@ -76,20 +88,23 @@ def range_keys(h: np.ndarray, at: np.ndarray, sizes: SizeClasses) -> tuple[np.nd
     for step in (0, 1):
         c = np.zeros(len(n), dtype=np.int64)
         c[some] = own + step
-        differ = sizes.differ(c)
-        ranges = differ + 2 + differ // 24
-        at_range = (h >> np.uint64(20)) * ranges[text].astype(np.uint64) >> np.uint64(32)
+        at_range = (h >> np.uint64(20)) * sizes.ranges(c)[text].astype(np.uint64) >> np.uint64(32)
         begins = np.flatnonzero(tk.first_of_runs(text, at_range))
         total = np.add.reduceat(scrambled, begins)
         t = text[begins]
+        # a set of one shingle is a key as a whole where it has no larger set to be similar to
+        use = (np.diff(np.append(begins, len(text))) > 1) | ((n[t] == 1) & (den < 2 * num))
         seed = tk.mix64(c[t].astype(np.uint64) << np.uint64(32) | at_range[begins])
-        out_text.append(t)
-        out_key.append(tk.mix64(total ^ seed))
-        filled = np.bincount(t, minlength=len(n))
-        sparse |= (n > 0) & (ranges - filled >= ranges - differ)
+        out_text.append(t[use])
+        out_key.append(tk.mix64(total ^ seed)[use])
+        full = np.bincount(t[use], minlength=len(n))
+        sparse |= full <= n * (den - num) // num
+        if step == 0:
+            sparse |= full <= 2 * n * (den - num) // (den + num)
+    sparse &= n > 0
     if sparse.any():
         rank = np.arange(len(h)) - np.repeat(at[:-1], n)
-        prefix = n - -(-n * sizes.num // sizes.den) + 1
+        prefix = n - -(-n * num // den) + 1
         pick = sparse[text] & (rank < prefix[text])
         out_text.append(text[pick])
         out_key.append(tk.mix64(scrambled[pick] + np.uint64(0x1B873593)))
@@ -265,7 +280,7 @@ def links(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray | None, num:
 
 
 def _product(num: int, den: int):
-    def solve(side: list[int], ids: list[int], copies: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def solve(square: bool, side: list[int], ids: list[int], copies: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         order = np.argsort(np.array(ids), kind="stable")
         order = [i for n, i in enumerate(order) if not n or ids[i] != ids[order[n - 1]] or not np.array_equal(sets[i], sets[order[n - 1]])]
         ids, side, copies = np.array(ids)[order], np.array(side)[order], np.array(copies)[order]
@@ -273,8 +288,8 @@ def _product(num: int, den: int):
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         degree = np.zeros(len(ids), dtype=np.int64)
         root = np.arange(len(ids))
-        if len(one):
-            for i, j in links(sets, one, two if len(two) else None, num, den):
+        if len(one) and (square or len(two)):
+            for i, j in links(sets, one, None if square else two, num, den):
                 degree += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
                 degree += np.bincount(j, weights=copies[i], minlength=len(ids)).astype(np.int64)
                 root = local_components(len(ids), np.concatenate([np.arange(len(ids)), i]), np.concatenate([root, j]))
@@ -285,12 +300,12 @@ def _product(num: int, den: int):
         for batch in batches:
             for *key, side, doc, copies, body in zip(*(batch.column(n).to_pylist() for n in ("block", "i", "j", "side", "doc_id", "copies", "body"))):
                 if key != now and rows:
-                    yield solve(*map(list, zip(*rows)))
+                    yield solve(now[1] == now[2], *map(list, zip(*rows)))
                     rows = []
                 now = key
                 rows.append((side, doc, copies, np.frombuffer(body, np.uint64)))
         if rows:
-            yield solve(*map(list, zip(*rows)))
+            yield solve(now[1] == now[2], *map(list, zip(*rows)))
 
     return run
 
