@@ -377,3 +377,15 @@ def _sizes(k: int):
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Shingles of four words, similarity 85 hundredths, over all documents."""
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT node, b FROM r JOIN links ON a = seen)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE node = w.doc_id) AS component_id, (SELECT count(*) FROM links WHERE a = w.doc_id) AS n_links FROM w LEFT JOIN n USING (doc_id)
+"""

@@ -349,3 +349,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 def op7_fixed_block_dedup(spark, sf_dir: str) -> DataFrame:
     """Windows of 13 words over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM w)),
+first AS (SELECT g, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (g) WHERE m < doc_id),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
