@@ -169,7 +169,7 @@ def _mixed(spark, sized: DataFrame, totals: list, weights, most: int, seed: int,
     sizes = {r["s"]: r["size"] for r in totals}
     goal = targets(sizes, weights(list(sizes)), most)
     plan = []
-    for n, r in enumerate(totals):
+    for n, r in enumerate(sorted(totals, key=lambda r: (r["s"] is None, r["s"]))):
         rate = goal[r["s"]] / r["size"] if r["size"] else Fraction(0)
         plan.append((r["s"], n, r["size"], float(goal[r["s"]]), int(rate), int((rate - int(rate)) * ONE), -(-r["rows"] // BUCKET)))
     table = spark.createDataFrame(plan, "_s string, _src int, _source_size long, _target double, _whole long, _part long, _buckets int")
