@@ -519,6 +519,21 @@ def wkb_rows(g):
     return g.geoms.select("idx", F.octet_length(wkb_column(F.col("geom"))).alias("bytes"))
 
 
+@query("SELECT parent_county AS parent, count(DISTINCT district) - 1 AS splits FROM p JOIN u USING (idx) WHERE district > 0 GROUP BY 1", "stripe")
+def county_splits(g):
+    from parcelloom.plans.experiment import county_splits as splits
+
+    return splits(g.units, _plan(g, "stripe")).drop("chain")
+
+
+@query("SELECT lo, hi FROM (SELECT least(idx, twin_idx) AS lo, greatest(idx, twin_idx) AS hi, n_nationkey FROM s JOIN u USING (idx) WHERE n_nationkey IN (3, 4) AND twin_idx IS NOT NULL) GROUP BY lo, hi HAVING count(DISTINCT n_nationkey) = 2")
+def common_segments(g):
+    # segments that the outlines of two districts have in common
+    segs = g.segments().where("twin_idx is not null").join(g.units.select("idx", "n_nationkey"), "idx")
+    key = [F.least("idx", "twin_idx").alias("lo"), F.greatest("idx", "twin_idx").alias("hi")]
+    return segs.where("n_nationkey = 3").select(*key).intersect(segs.where("n_nationkey = 4").select(*key))
+
+
 # ---- outlines: areas of traced rings in square degrees, which add up cell by cell ----
 
 

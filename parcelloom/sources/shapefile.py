@@ -74,7 +74,8 @@ def read_shapefile(spark: SparkSession, path: str, fields: dict[str, str]) -> Da
     A file is one task's work; a source of many files is read by many.  ``idx`` counts within a file.
     """
     files = spark.read.format("binaryFile").load(path).where("path like '%.shp' or path like '%.dbf'")
-    pairs = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("stem")).pivot(F.right(F.col("path"), F.lit(3)), ["shp", "dbf"]).agg(F.first("content"))
+    files = files.withColumn("kind", F.right(F.col("path"), F.lit(3)))
+    pairs = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("stem")).pivot("kind", ["shp", "dbf"]).agg(F.first("content"))
     schema = T.StructType([T.StructField("stem", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("geom", GEOM), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items())])
 
     def run(frames):

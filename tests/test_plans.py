@@ -184,3 +184,16 @@ def test_null_and_unknown_units(spark, grid):
     edges = topology.rook_edges(grid.segments())
     assert districts.cross_edges(edges, plan(spark, [1])).count() == 0
     assert districts.contiguity(edges, plan(spark, []), 2).count() == 0
+
+
+def test_configured_run(spark, grid, tmp_path):
+    from parcelloom.plans import experiment
+
+    phase = {"start_prob": 0.3, "end_prob": 0.1, "cooling_rate": 0.2, "weights": {"population": 2.0, "compactness": 1.0}}
+    config = {"num_districts": 3, "max_iter": 300, "init_temp": 1.0, "batch_size": 50, "temp_search_batch_size": 25, "competitiveness_threshold": 0.05, "phases": [phase, {**phase, "end_prob": None, "early_stop_iters": 100}]}
+    plans, scores, log = experiment.run(grid, json.dumps(config), "pop", "dem", "rep", chains=2, equalize_iter=50)
+    assert plans.contiguity().where("not contiguous").count() == 0 and scores.count() == 2 and log.select("phase").distinct().count() >= 1
+    experiment.save(plans, str(tmp_path / "plans"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "plans")).count() == 72
+    with pytest.raises(ValueError):
+        experiment.objective_of({"beauty": 1.0}, "pop", "dem", "rep", 0.05)
