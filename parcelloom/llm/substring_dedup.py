@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from parcelloom.llm import textkernel as tk
 from parcelloom.llm.shared import filesystem, parts_for, shared_dir, written
 
-CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 16000
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 16000
 #: Bits of a run's fingerprint within its part; windows have 62.
 RUN_BITS = 28
 _NONE = np.iinfo(np.int64).max
