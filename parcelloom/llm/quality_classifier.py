@@ -98,7 +98,7 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, p: P
             negative = -np.log(np.maximum(1 - su, 1e-9)).mean() + prior * np.log(np.maximum(1 - sp, 1e-9)).mean()
             g = gradient(unlabelled, su) - prior * gradient(positive, sp)
             g = prior * gradient(positive, sp - 1) + g if negative >= 0 else -g
-        g[:-1] += p.decay * w[:-1]
+        g[:-1] += max(p.decay, 0.5 / len(positive)) * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -138,7 +138,11 @@ def fit(features: DataFrame, positives: DataFrame, p: PuParameters = PuParameter
     edges = [np.unique(np.array(cuts[c] if cuts[c] else [0.0])) for c in FEATURES]
 
     def sample(df: DataFrame, n: int) -> np.ndarray:
-        rows = df.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(n).select(*FEATURES).toPandas()
+        # about 2n rows pass a cut of the hash; the n least of them come to the driver
+        total, place = df.count(), F.xxhash64(F.lit(5), "doc_id")
+        if total > 2 * n:
+            df = df.where(F.pmod(place, F.lit(1 << 30)) < 2 * n * (1 << 30) // total)
+        rows = df.orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(n).select(*FEATURES).toPandas()
         return binned(rows.to_numpy(dtype=float), edges)
 
     known = sample(features.join(positives.select("doc_id").distinct(), "doc_id"), p.positives)
@@ -146,8 +150,13 @@ def fit(features: DataFrame, positives: DataFrame, p: PuParameters = PuParameter
     wide = sum(len(e) for e in edges)
     if not len(known) or not len(text):
         return Model(edges, np.zeros(wide), 0.0, 0.5)
-    w, b = _fit(known, text, None, p)
-    prior = class_prior(known @ w + b, text @ w + b, p.least_tail)
+    # the first model is fitted on one half and looks at the other, so that it cannot know positives by heart
+    scores: tuple[list, list] = ([], [])
+    for half in (0, 1):
+        w, b = _fit(known[half::2] if len(known) > 1 else known, text[half::2] if len(text) > 1 else text, None, p)
+        for x, out in zip((known, text), scores):
+            out.append(x[1 - half :: 2] @ w + b)
+    prior = class_prior(np.concatenate(scores[0]), np.concatenate(scores[1]), p.least_tail)
     w, b = _fit(known, text, prior, p)
     return Model(edges, w, b, prior)
 
