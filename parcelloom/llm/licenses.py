@@ -5,7 +5,8 @@
     these the text's rarest license words are looked up in the index; each place in the text and posting
     (template, position) gives the place where the template would begin, and places on which several different
     words agree are candidates.  A candidate counts if enough of the template's words stand where it says and
-    all of the template's mandatory phrases are found, a few words off at most.
+    all of the template's mandatory phrases are found, a few words off at most.  Templates that the rarest words
+    don't find word for word (they may all belong to another notice) are looked up again with all of their words.
 
 No shuffle of texts; what is broadcast is the templates' index.
 """
@@ -117,8 +118,24 @@ class Index:
             share = float((text[begin + lo : begin + hi] == template[lo:hi]).sum()) / len(template)
             if share >= self.coverage and share > out.get(t, 0) and all(self._near(text, begin + q, m) for q, m in self.mandatory[t]):
                 out[t] = share
+        for t in allowed:
+            if out.get(t, 0) < 1:
+                out |= self._everywhere(text, at, number, t, out.get(t, 0))
         return out
 
+    def _everywhere(self, text: np.ndarray, at: np.ndarray, number: np.ndarray, t: int, least: float) -> dict[int, float]:
+        """The template, if it stands anywhere with a coverage above ``least``: all of its words are counted where they are in place."""
+        template, found = self.words[t], {}
+        last = len(template) - 1
+        placed = np.zeros(len(text) + last, dtype=np.int32)  # by the place where the template begins, from -last
+        for q, v in enumerate(self.number[t].tolist()):
+            placed[at[number == v] + (last - q)] += 1
+        for i in np.flatnonzero(placed >= max(1, math.floor(self.coverage * len(template)))).tolist():
+            share = float(placed[i]) / len(template)
+            if share >= self.coverage and share > found.get(t, least) and all(self._near(text, i - last + q, m) for q, m in self.mandatory[t]):
+                found[t] = share
+        return found
+
     def _near(self, text: np.ndarray, at: int, phrase: np.ndarray) -> bool:
         return any(p >= 0 and np.array_equal(text[p : p + len(phrase)], phrase) for p in range(at - self.slack, at + self.slack + 1))
 

@@ -109,5 +109,23 @@ def test_a_few_changed_words_are_forgiven(spark):
     assert found["labels"] == "mit-text" and 0.9 < found["score"] < 1
 
 
+def test_notices_beside_other_notices(spark):
+    together = [("apache-2.0", "mit-text"), ("gpl-3.0", "isc"), ("mit-notice", "bsd"), ("mit-notice", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0"), tuple(NOTICES)]
+    texts = [" and here some code ".join(NOTICES[n] for n in names) for names in together]
+    rows = {r["doc_id"]: r for r in lic.license_scan(brute.documents(spark, [*texts, *["permission license software"] * 20])).collect()}
+    for i, names in enumerate(together):
+        assert set(names) <= set(rows[i]["labels"].split(",")) and rows[i]["score"] == 1.0, names
+
+
+def test_all_words_of_a_template_are_looked_up():
+    index = lic.Index(rarest=3)
+    w = NOTICES["mit-text"].split()
+    for k in (10, 16, 38, 44):  # outside of the mandatory phrases
+        text = " ".join([*w[:k], "changed", *w[k + 1 :], "and", NOTICES["bsd"]])
+        h = next(lic.tk.words(lic.pa.array([text]), lic.tk.ALNUM, lower=True))
+        found = index.scan(h.hash, *index.known(h), lic.np.arange(len(index.labels)))
+        assert found[index.labels.index("mit-text")] == (len(w) - 1) / len(w) and found[index.labels.index("bsd")] == 1.0
+
+
 def test_empty(spark):
     assert lic.license_scan(brute.documents(spark, [])).count() == 0
