@@ -75,7 +75,9 @@ class Index:
         self.holds = np.zeros((len(self.vocabulary), len(templates)), dtype=np.int64)
         for t, numbers in enumerate(self.number):
             self.holds[numbers, t] = 1
-        self.needs = np.array([max(1, len(set(n.tolist())) - int((1 - coverage) * len(n))) for n in self.number])
+        # shares that `scan` accepts, short of all words: so many words may be missing
+        missing = [sum(k / len(n) >= coverage for k in range(len(n))) for n in self.number]
+        self.needs = np.array([max(1, len(set(n.tolist())) - m) for n, m in zip(self.number, missing)])
         self.phrases = [(_hashes(p), label) for p, label in phrases.items()]
         self.rank = np.arange(len(self.vocabulary))
 

@@ -127,5 +127,17 @@ def test_all_words_of_a_template_are_looked_up():
         assert found[index.labels.index("mit-text")] == (len(w) - 1) / len(w) and found[index.labels.index("bsd")] == 1.0
 
 
+def test_as_many_words_may_be_missing_as_the_coverage_says(spark):
+    w = NOTICES["isc"].split()
+    isc = " ".join("changed" if i in (3, 8, 10, 18) else x for i, x in enumerate(w))  # words that stand there once
+    w = NOTICES["gpl-2.0"].split()
+    gpl = " ".join("changed" if i in (1, 2, 5, 6, 9, 11, 28) else x for i, x in enumerate(w))
+    rows = {r["doc_id"]: r for r in lic.license_scan(brute.documents(spark, ["Licensed under the MIT License", isc, gpl])).collect()}
+    assert [rows[i]["labels"] for i in range(3)] == ["mit,mit-notice", "isc", "gpl,gpl-2.0"]
+    assert [rows[i]["score"] for i in range(3)] == [0.8, 0.8, 0.8]
+    for n, need in zip(lic.Index().number, lic.Index().needs):
+        assert need == len(set(n.tolist())) - len(n) * 20 // 100
+
+
 def test_empty(spark):
     assert lic.license_scan(brute.documents(spark, [])).count() == 0
