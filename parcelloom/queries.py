@@ -644,16 +644,26 @@ def phase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["phase_islands"], SQL["phase_islands"] = phase_islands, _RUNS
 
 
-def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _round_trip(e: DataFrame) -> DataFrame:
     from parcelloom.operators.trace import log_line, parsed
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000")
     rows = e.select(F.lit(0).alias("chain"), F.col("event_id").alias("iter"), F.lit(1).alias("phase"), F.col("value").alias("obj"), F.col("value").alias("best"), F.lit(0.5).alias("temp"), F.lit(0.25).alias("prob"), F.create_map(F.lit("m"), F.col("value")).alias("metrics"))
     return parsed(log_line(rows)).select("iter", "phase", F.round("obj", 2).alias("obj"), "temp", "prob")
 
 
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000"))
+
+
+def log_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_parse`` over all events."""
+    return _round_trip(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 QUERIES["log_parse"] = log_parse
 SQL["log_parse"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events WHERE event_id < 5000"
+QUERIES["log_parse_all"] = log_parse_all
+SQL["log_parse_all"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events"
 
 
 def move_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_searches_keep_units_and_contiguity(spark, name):
     for chain in range(4):
         own = [r for r in rows if r["chain"] == chain]
         assert sum(r["units"] for r in own) == 150 and all(r["components"] == 1 for r in own)
+
+
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_all_events_are_parsed(spark):
+    # more events than the ids below 5000
+    rows = QUERIES["log_parse_all"](spark, LARGER).collect()
+    events = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{LARGER}/events.parquet").collect()}
+    assert len(rows) == len(events) > 5000
+    assert all(abs(r["obj"] - events[r["iter"]]) <= 0.00501 for r in rows)
