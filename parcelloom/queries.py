@@ -236,8 +236,18 @@ def units_in_envelope(g):
 
 @query("SELECT idx AS pid, CAST(CASE WHEN idx % 4 = 0 THEN -1 ELSE idx END AS INTEGER) AS idx FROM u WHERE idx % 3 = 0")
 def unit_at(g):
+    return _units_at(g, g.units.where("idx % 3 = 0"))
+
+
+@query("SELECT idx AS pid, CAST(CASE WHEN idx % 4 = 0 THEN -1 ELSE idx END AS INTEGER) AS idx FROM u")
+def unit_at_all(g):
+    return _units_at(g, g.units)
+
+
+def _units_at(g: GridMap, units: DataFrame) -> DataFrame:
+    # every fourth point is off the map
     far = F.when(F.col("idx") % 4 == 0, 500.0).otherwise(0.0)
-    points = g.units.where("idx % 3 = 0").select(F.col("idx").alias("pid"), (F.col("centroid_lon") + far).alias("x"), F.col("centroid_lat").alias("y"))
+    points = units.select(F.col("idx").alias("pid"), (F.col("centroid_lon") + far).alias("x"), F.col("centroid_lat").alias("y"))
     return topology.units_at(points, g.geoms, Derived.of(g).geom, 0.02).na.fill(-1, ["idx"])
 
 

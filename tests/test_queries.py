@@ -55,3 +55,8 @@ def test_all_events_are_parsed(spark):
     events = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{LARGER}/events.parquet").collect()}
     assert len(rows) == len(events) > 5000
     assert all(abs(r["obj"] - events[r["iter"]]) <= 0.00501 for r in rows)
+
+
+def test_every_unit_is_looked_up(spark):
+    rows = {r["pid"]: r["idx"] for r in QUERIES["unit_at_all"](spark, LARGER).collect()}
+    assert rows == {i: -1 if i % 4 == 0 else i for i in range(spark.read.parquet(f"{LARGER}/customer.parquet").count())}
