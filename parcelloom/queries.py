@@ -575,6 +575,42 @@ def outline_hull(g):
     return _areas(hulls(g.segments(), members, ["k"]), "k").drop("rings")
 
 
+# the hull of a run of cells: full rows, and a slope to each row that isn't full
+_HULLS = """SELECT district, round(0.0001::DOUBLE * CASE WHEN max(c) = max(w) THEN sum(CASE WHEN c = w THEN w ELSE (w + c) / 2 END) WHEN count(*) = 2 THEN max(c) + sum(c) / 2 ELSE sum(c) END, 6) AS area
+FROM (SELECT district, gy, count(*)::DOUBLE AS c FROM p JOIN u USING (idx) GROUP BY 1, 2) CROSS JOIN (SELECT w::DOUBLE AS w FROM wd) GROUP BY 1"""
+
+
+@query(_HULLS)
+def district_hulls(g):
+    from parcelloom.operators.outline import hulls
+
+    return _areas(hulls(g.segments(), _plan(g), ["chain", "district"]), "district").drop("rings")
+
+
+# in every full block of 5 x 5 cells the 16 on its rim are a set
+_IN_RIM = "(gx % 5 IN (0, 4) OR gy % 5 IN (0, 4))"
+
+
+def _rims(g: GridMap) -> DataFrame:
+    cells = g.units.select("idx", "gx", "gy", F.expr("cast(gy div 5 * 100000 + gx div 5 as int)").alias("k"))
+    full = cells.groupBy("k").count().where("count = 25").select("k")
+    return cells.where(_IN_RIM).join(full, "k").select("k", "idx")
+
+
+@query(f"SELECT CAST(gy // 5 * 100000 + gx // 5 AS INTEGER) AS k, round(count(*) FILTER (WHERE {_IN_RIM}) * 0.0001::DOUBLE, 6) AS area, CAST(2 AS BIGINT) AS rings FROM u GROUP BY gy // 5, gx // 5 HAVING count(*) = 25")
+def block_outlines_with_holes(g):
+    from parcelloom.operators.outline import dissolved
+
+    return _areas(dissolved(g.segments(), _rims(g), ["k"]), "k")
+
+
+@query(f"SELECT CAST(min(idx) FILTER (WHERE NOT {_IN_RIM}) AS INTEGER) AS component, count(*) FILTER (WHERE NOT {_IN_RIM}) AS units FROM u GROUP BY gy // 5, gx // 5 HAVING count(*) = 25")
+def block_enclaves(g):
+    d = Derived.of(g)
+    members = _rims(g).select(F.lit(0).alias("chain"), "idx")
+    return districts.enclaves(d.edges, members, d.geom.select("idx", "is_exterior")).drop("chain")
+
+
 @query("SELECT idx, round(0.0001::DOUBLE, 6) AS area FROM u")
 def simplified_units(g):
     from parcelloom.operators.outline import simplified_geoms

@@ -60,3 +60,14 @@ def test_all_events_are_parsed(spark):
 def test_every_unit_is_looked_up(spark):
     rows = {r["pid"]: r["idx"] for r in QUERIES["unit_at_all"](spark, LARGER).collect()}
     assert rows == {i: -1 if i % 4 == 0 else i for i in range(spark.read.parquet(f"{LARGER}/customer.parquet").count())}
+
+
+@pytest.mark.parametrize("name", ["district_hulls", "block_outlines_with_holes", "block_enclaves"])
+def test_outlines_grow_with_the_map(spark, name):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{LARGER}/{t}.parquet'")
+    theirs = con.sql(SQL[name])
+    ours = QUERIES[name](spark, LARGER).select(*theirs.columns).collect()
+    assert sorted(tuple(map(plain, r)) for r in ours) == sorted(tuple(map(plain, r)) for r in theirs.fetchall())
+    assert len(ours) == (25 if name == "district_hulls" else 49)
