@@ -9,7 +9,8 @@ with the class prior pi estimated from how the unlabelled text exceeds the posit
 (positives against unlabelled) scores low.  Label 0 is never used.
 
 Statistics are computed for every document, and bin edges are quantiles over all of them.  The model is fitted on the
-driver on ``positives`` and ``unlabelled`` rows at most, those with the least hash of their id.
+driver on ``positives`` and ``unlabelled`` rows at most, those with the least hash of their id.  The prior is estimated
+from all training rows: the first models score each of them, and histograms of the scores come to the driver.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ FEATURES = [
     *(f"class_{c}" for c in COUNTED),
 ]
 
+#: Bins of the scores' histograms in a unit of log odds.
+BINS_A_UNIT = 1024
+
 
 @dataclass(frozen=True)
 class PuParameters:
@@ -110,9 +114,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_tail: float)
     Below any threshold the unlabelled hold ``pi`` times the positives' share, and negatives; the threshold that
     shows the most negatives decides.  At least ``least_tail`` of the positives must lie above it.
     """
-    t = np.unique(np.concatenate([positive, unlabelled]))
-    below_p = np.searchsorted(np.sort(positive), t, "right") / len(positive)
-    below_u = np.searchsorted(np.sort(unlabelled), t, "right") / len(unlabelled)
+    t, at = np.unique(np.concatenate([positive, unlabelled]), return_inverse=True)
+    counts = (np.bincount(x, minlength=len(t)) for x in (at[: len(positive)], at[len(positive) :]))
+    return prior_of_counts(*counts, least_tail)
+
+
+def prior_of_counts(positive: np.ndarray, unlabelled: np.ndarray, least_tail: float) -> float:
+    """``class_prior`` from how many positives and unlabelled have each score, the lowest first."""
+    below_p, below_u = (np.cumsum(n) / n.sum() for n in (positive, unlabelled))
     use = 1 - below_p >= least_tail
     if not use.any():
         return 1 - 1e-3
@@ -131,32 +140,49 @@ class Model:
         return _sigmoid(binned(x, self.edges) @ self.weights.astype(np.float32) + self.bias).astype(float)
 
 
+def _bins(models):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, first = models.value
+        for batch in batches:
+            x = binned(np.stack([batch.column(c).to_numpy() for c in FEATURES], axis=1), edges) if len(batch) else np.zeros((0, sum(len(e) for e in edges)), np.float32)
+            half = batch.column("half").to_numpy()
+            z = np.where(half == 0, x @ first[1][0] + first[1][1], x @ first[0][0] + first[0][1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.floor(np.clip(z, -30, 30) * BINS_A_UNIT).astype(np.int32))], names=["doc_id", "bin"])
+
+    return run
+
+
 def fit(features: DataFrame, positives: DataFrame, p: PuParameters = PuParameters()) -> Model:
     """A model from the ``features`` of training documents and the ids of the positive ones."""
     ranks = [i / p.bins for i in range(1, p.bins)]
     cuts = features.agg(*(F.percentile_approx(c, ranks, 2000).alias(c) for c in FEATURES)).first()
     edges = [np.unique(np.array(cuts[c] if cuts[c] else [0.0])) for c in FEATURES]
 
-    def sample(df: DataFrame, n: int) -> np.ndarray:
+    half = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).cast("int").alias("half")
+
+    def sample(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         # about 2n rows pass a cut of the hash; the n least of them come to the driver
         total, place = df.count(), F.xxhash64(F.lit(5), "doc_id")
         if total > 2 * n:
             df = df.where(F.pmod(place, F.lit(1 << 30)) < 2 * n * (1 << 30) // total)
-        rows = df.orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(n).select(*FEATURES).toPandas()
-        return binned(rows.to_numpy(dtype=float), edges)
+        rows = df.orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(n).select(half, *FEATURES).toPandas()
+        return binned(rows[FEATURES].to_numpy(dtype=float), edges), rows["half"].to_numpy()
 
-    known = sample(features.join(positives.select("doc_id").distinct(), "doc_id"), p.positives)
-    text = sample(features, p.unlabelled)
+    positives = positives.select("doc_id").distinct()
+    known, known_half = sample(features.join(positives, "doc_id"), p.positives)
+    text, text_half = sample(features, p.unlabelled)
     wide = sum(len(e) for e in edges)
     if not len(known) or not len(text):
         return Model(edges, np.zeros(wide), 0.0, 0.5)
-    # the first model is fitted on one half and looks at the other, so that it cannot know positives by heart
-    scores: tuple[list, list] = ([], [])
-    for half in (0, 1):
-        w, b = _fit(known[half::2] if len(known) > 1 else known, text[half::2] if len(text) > 1 else text, None, p)
-        for x, out in zip((known, text), scores):
-            out.append(x[1 - half :: 2] @ w + b)
-    prior = class_prior(np.concatenate(scores[0]), np.concatenate(scores[1]), p.least_tail)
+    # a first model is fitted on one half and looks at the other, so that it cannot know positives by heart
+    first = []
+    for h in (0, 1):
+        own = [x[of == h] if (of == h).any() else x for x, of in ((known, known_half), (text, text_half))]
+        w, b = _fit(*own, None, p)
+        first.append((w.astype(np.float32), b))
+    bins = features.select("doc_id", half, *FEATURES).mapInArrow(_bins(features.sparkSession.sparkContext.broadcast((edges, first))), "doc_id long, bin int")
+    bins = bins.join(positives.withColumn("known", F.lit(1)), "doc_id", "left").groupBy("bin").agg(F.count("*").alias("n"), F.count("known").alias("known")).toPandas().sort_values("bin")
+    prior = prior_of_counts(bins["known"].to_numpy(), bins["n"].to_numpy(), p.least_tail)
     w, b = _fit(known, text, prior, p)
     return Model(edges, w, b, prior)
 

@@ -89,6 +89,15 @@ def test_prior_of_a_known_mixture():
     assert qc.class_prior(p, u, 0.25) == pytest.approx(0.7, abs=0.06)
 
 
+def test_the_prior_counts_all_rows(spark):
+    # 1110 of 3000 rows are good, and far fewer are fitted on
+    rows = [(i, *[float(i % 1000 < 370) * (k + 1) for k in range(len(qc.FEATURES))]) for i in range(3000)]
+    features = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} double" for c in qc.FEATURES)).repartition(3)
+    positives = features.where("doc_id % 1000 < 370").select("doc_id")
+    model = qc.fit(features, positives, qc.PuParameters(positives=50, unlabelled=100, steps=50))
+    assert model.prior == pytest.approx(0.37, abs=1e-6)
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     scores = qc.op6_pu_quality_classifier(spark, sf)
