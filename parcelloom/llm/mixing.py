@@ -153,33 +153,76 @@ def mix(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: int = 17,
     has none and is taken as its source's whole part says, which adds no words.  A null source is a source.
     Outcomes depend on the seed, the key and the size of a row, so reruns agree; rows that repeat key and
     size are interchangeable.  Columns with these four names are replaced, other columns stay.  An empty table gives an empty result.
-    The sources are the keys of a parameter; more than ``MAX_SOURCES`` raise a ValueError.
+    Up to ``MAX_SOURCES`` sources are planned on the driver.  Beyond, cyclic weights are planned in Spark, with the same
+    results; other weights, which need a list of all sources, raise a ValueError there.
     """
     spark = docs.sparkSession
     docs, names = numbered(docs)
     doc_id, text, source = (names[c] for c in (doc_id, text, source))
-    totals = with_words(docs.select(source, text), text).groupBy(F.col(source).alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
+    totals = with_words(docs.select(source, text), text).groupBy(F.col(source).alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
     out = _mixed(spark, with_words(docs, text), totals, weights, most, seed, doc_id, source)
     return restored(out, names, "_copies", "_size", "_source_size", "_target")
 
 
-def _mixed(spark, sized: DataFrame, totals: list, weights, most: int, seed: int, doc_id: str, source: str) -> DataFrame:
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["s"]: r["size"] for r in totals}
-    goal = targets(sizes, weights(list(sizes)), most)
-    plan = []
-    for n, r in enumerate(sorted(totals, key=lambda r: (r["s"] is None, r["s"]))):
-        rate = goal[r["s"]] / r["size"] if r["size"] else Fraction(0)
-        plan.append((r["s"], n, r["size"], float(goal[r["s"]]), int(rate), int((rate - int(rate)) * ONE), -(-r["rows"] // BUCKET)))
-    table = spark.createDataFrame(plan, "_s string, _src int, _source_size long, _target double, _whole long, _part long, _buckets int")
-    rows = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s")))
+_PLAN = "_s string, _src int, _source_size long, _target double, _whole long, _part long, _buckets int"
+
+
+def _planned(s, n: int, size: int, rows: int, goal: Fraction, bucket: int) -> tuple:
+    rate = goal / size if size else Fraction(0)
+    return s, n, size, float(goal), int(rate), int((rate - int(rate)) * ONE), -(-rows // bucket)
+
+
+def _plan_of_many(totals: DataFrame, most: int) -> DataFrame:
+    """The plan of ``cyclic_weights`` and ``targets`` from aggregates over the weights: sources stay in Spark.
+
+    Of a weight's sources the small ones are above ``most`` times their size, so a size that bounds them says which.
+    """
+    spark, bucket = totals.sparkSession, BUCKET
+    ordered = written(totals, "totals").orderBy(F.col("s").asc_nulls_last()).rdd.zipWithIndex()
+    named = written(spark.createDataFrame(ordered.map(lambda x: (x[0]["s"], x[1], x[0]["size"], x[0]["rows"], x[1] % 3 + 1)), "s string, n long, size long, rows long, w long"), "sources")
+    weights = {r["w"]: r for r in named.groupBy("w").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    open_, left = {w: r["n"] for w, r in weights.items()}, Fraction(sum(r["size"] for r in weights.values()))
+    cut, unit = dict.fromkeys(open_, -1), Fraction(0)
+    while total := sum(w * n for w, n in open_.items()):
+        # the largest size with most * size * total < left * w
+        to = {w: max(cut[w], -(-left * w // (most * total)) - 1) for w in open_}
+        over = named.where(" or ".join(f"w = {w} and size > {cut[w]} and size <= {to[w]}" for w in open_)).groupBy("w").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+        if not over:
+            unit = left / total
+            break
+        for r in over:
+            open_[r["w"]] -= r["n"]
+            left -= most * r["size"]
+        cut = to
+
+    def planned(r) -> tuple:
+        goal = Fraction(most * r["size"]) if r["size"] <= cut[r["w"]] else unit * r["w"]
+        return _planned(r["s"], r["n"], r["size"], r["rows"], goal, bucket)
+
+    return written(spark.createDataFrame(named.rdd.map(planned), _PLAN), "plan")
+
+
+def _mixed(spark, sized: DataFrame, totals: DataFrame, weights, most: int, seed: int, doc_id: str, source: str) -> DataFrame:
+    found = totals.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        if weights is not cyclic_weights:
+            raise ValueError(f"more than {MAX_SOURCES} sources, and other weights than cyclic ones")
+        table = _plan_of_many(totals, most)
+        # a source has one bucket at least
+        n_buckets, deep = table.agg(F.sum("_buckets"), F.max("_buckets")).first()
+    else:
+        sizes = {r["s"]: r["size"] for r in found}
+        goal = targets(sizes, weights(list(sizes)), most)
+        plan = [_planned(r["s"], n, r["size"], r["rows"], goal[r["s"]], BUCKET) for n, r in enumerate(sorted(found, key=lambda r: (r["s"] is None, r["s"])))]
+        n_buckets, deep = sum(p[6] for p in plan), max([p[6] for p in plan], default=1)
+        table = F.broadcast(spark.createDataFrame(plan, _PLAN))
+    rows = sized.join(table, F.col(source).eqNullSafe(F.col("_s")))
     key = F.col(doc_id).cast("string")
     mass = F.when(F.col("_part") * F.col("_size") > 0, F.col("_part") * F.col("_size"))
     rows = rows.select(*sized.columns, "_source_size", "_target", "_src", F.pmod(F.xxhash64(key, "_size"), F.col("_buckets")).cast("int").alias("_bucket"), key.alias("_key"), mass.alias("_mass"), F.col("_whole").alias("_copies"))
-    levels, deep = [], max([p[6] for p in plan], default=1)
+    levels = []
     while True:
-        n = max(1, sum(p[6] for p in plan))
+        n = max(1, n_buckets)
         run = _pivot(seed + len(levels), rows.columns)
         done = rows.repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)), "_src", "_bucket").sortWithinPartitions("_src", "_bucket", F.desc("_size"), "_key").mapInArrow(run, rows.schema)
         done = written(done, "level")
@@ -192,7 +235,7 @@ def _mixed(spark, sized: DataFrame, totals: list, weights, most: int, seed: int,
             break
         rows = rest.withColumn("_bucket", F.floor(F.col("_bucket") / FAN_IN).cast("int"))
         deep = -(-deep // FAN_IN)
-        plan = [(*p[:6], -(-p[6] // FAN_IN)) for p in plan]
+        n_buckets = max(len(found), -(-n_buckets // FAN_IN))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -210,6 +253,6 @@ def op9_pivotal_mixing(spark, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 over the sources of all documents, none taken more than three times over."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     sized = written(with_words(docs).drop("text"), "sizes")
-    totals = sized.groupBy(F.col("source").alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
+    totals = sized.groupBy(F.col("source").alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
     out = _mixed(spark, sized, totals, cyclic_weights, 3, 17, "doc_id", "source")
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

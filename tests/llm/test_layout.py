@@ -257,3 +257,14 @@ def test_archives_against_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     ours = {tuple(r) for r in warc.op8_chunked_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()}
     assert ours == set(duckdb.sql(warc.OP8_SQL).fetchall())
+
+
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    rows = [(i, "w " * (i % 37 if i % 11 else 600), None if i % 13 == 0 else f"s{min(i % 23, i % 7)}" if i % 5 else f"é{i % 50}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    few = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    assert sorted(map(str, mixing.mix(df).collect())) == few
+    with pytest.raises(ValueError):
+        mixing.mix(df, lambda names: dict.fromkeys(names, 1))
