@@ -5,8 +5,10 @@ for a text.  Work is cut into pieces of about ``PIECE`` bytes; a text longer tha
 separators, so memory is bounded by the piece size, the word hashes of the longest text
 (8 bytes a word) and the longest single word.
 
-Words, shingles and lines are compared by 64-bit fingerprints: a polynomial over the bytes modulo
-2**64 with a fixed odd base, mixed with the length.
+Words and lines are compared by 64-bit fingerprints: the length and then eight bytes at a time are added to a
+state that is scrambled in between; spans of more than ``VECTOR`` bytes are hashed by XXH3.  No value is linear in
+the bytes, so no texts collide by their structure, whatever their letters.  Runs of words are folded the same way.
+A fingerprint with another seed is independent, and ``same_bytes`` compares spans themselves.
 """
 
 from __future__ import annotations
@@ -16,36 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 128 << 10
 #: Most texts of a group, so that a text's number fits beside 52 bits of a fingerprint.
 TEXTS = 4096
 _SET_BITS, _SET_MASK = np.uint64(52), np.uint64((1 << 52) - 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SHINGLE_BASE = 0xD6E8FEB86659FD93 | 1
+#: Longest span, in bytes, that is hashed and compared by array operations.
+VECTOR = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Table:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
-            self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Table(_BASE), _Table(_SHINGLE_BASE)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -59,6 +41,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number, with zeros after the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprints of the bytes of each span."""
+    size = ends - starts
+    value = size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+    at, use = _eights(data), None
+    value = mix64(value)
+    value ^= at[starts] & _KEEP[np.minimum(size, 8)]
+    value = mix64(value)
+    for lo in range(8, VECTOR, 8):
+        use = np.flatnonzero(size > lo) if use is None else use[size[use] > lo]
+        if not len(use):
+            return value
+        value[use] = mix64(value[use] ^ (at[starts[use] + lo] & _KEEP[np.minimum(size[use] - lo, 8)]))
+    raw = memoryview(data)
+    for i in np.flatnonzero(size > VECTOR).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed)
+    return value
+
+
+def same_bytes(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of ``one`` holds the bytes of its counterpart in ``two``."""
+    size = ends - starts
+    same = size == sizes
+    a, b = _eights(one), _eights(two)
+    use = np.flatnonzero(same)
+    for lo in range(0, VECTOR, 8):
+        use = use[size[use] > lo]
+        if not len(use):
+            return same
+        same[use] = (a[starts[use] + lo] ^ b[begins[use] + lo]) & _KEEP[np.minimum(size[use] - lo, 8)] == 0
+        use = use[same[use]]
+    for i in use[size[use] > VECTOR].tolist():
+        same[i] = one[starts[i] : ends[i]].tobytes() == two[begins[i] : begins[i] + sizes[i]].tobytes()
+    return same
+
+
 def _class(separators: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     for lo, hi in separators:
@@ -89,7 +114,6 @@ class Words:
     end: np.ndarray
     data: np.ndarray  # uint8: the bytes of these texts
     offsets: np.ndarray  # int64: where each text begins in ``data``, and the end
-    sums: np.ndarray | None = None  # prefix sums of the fingerprint polynomial, but for a long text
 
     @property
     def texts(self) -> int:
@@ -118,17 +142,11 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    value = (sums[ends] - sums[starts]) * _BYTES.down[starts]
-    value += (ends - starts).astype(np.uint64) * _M2
-    return mix64(value)
-
-
-def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of ``data``, and the prefix sums; no word crosses a value of ``bounds``."""
+def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``data``; no word crosses a value of ``bounds``."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = table[data]
     before = np.empty(n + 1, dtype=bool)
     before[0], before[1:] = False, inside
@@ -138,17 +156,10 @@ def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool)
     after[:n], after[n] = inside, False
     after[bounds] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    up, _ = _BYTES.upto(n + 1)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    term = (_LOWER if lower else _SAME)[data].astype(np.uint64)
-    term += np.uint64(1)
-    term *= up[:n]
-    np.cumsum(term, out=sums[1:])
-    return _span_hashes(sums, starts, ends), starts, ends, sums
+    return span_hashes(_LOWER[data] if lower else data, starts, ends, seed), starts, ends
 
 
-def _long(data: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, table: np.ndarray, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_scan`` of one long text by pieces that end at separators."""
     parts, at = [], 0
     none = np.zeros(0, np.int64)
@@ -160,7 +171,7 @@ def _long(data: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray,
                 to = max(at, to - 65536) + int(gaps[-1]) + 1
                 break
             to = min(to + 65536, len(data))
-        h, s, e, _ = _scan(data[at:to], none, table, lower)
+        h, s, e = _scan(data[at:to], none, table, lower, seed)
         parts.append((h, s + at, e + at))
         at = to
     if not parts:
@@ -168,7 +179,7 @@ def _long(data: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
-def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) -> Iterator[Words]:
+def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False, seed: int = 0) -> Iterator[Words]:
     """The words of every text of a column, a group of texts at a time."""
     data, offsets = string_buffers(column)
     n, lo = len(offsets) - 1, 0
@@ -177,18 +188,18 @@ def words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) ->
         hi = min(hi, n, lo + TEXTS)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if hi == lo + 1 and len(part) > PIECE:
-            (h, s, e), sums = _long(part, table, lower), None
+            h, s, e = _long(part, table, lower, seed)
         else:
-            h, s, e, sums = _scan(part, at, table, lower)
+            h, s, e = _scan(part, at, table, lower, seed)
         # a text's words lie between the first start at or after its offset and the next text's
         doc = np.repeat(np.arange(hi - lo), np.diff(np.searchsorted(s, at)))
-        yield Words(lo, hi, doc, h, s, e, part, at, sums)
+        yield Words(lo, hi, doc, h, s, e, part, at)
         lo = hi
 
 
-def all_words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a whole column's words, each word's text, and where each text's words begin (and the end)."""
-    parts = [(w.hash, w.doc + w.lo, w.counts()) for w in words(column, table, lower)]
+    parts = [(w.hash, w.doc + w.lo, w.counts()) for w in words(column, table, lower, seed)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     h, doc, counts = (np.concatenate(x) for x in zip(*parts))
@@ -221,10 +232,12 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = _WORDS.upto(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[:n], out=sums[1:])
-    return mix64((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
+    value = hashes[: n - k + 1].copy()
+    for j in range(1, k):
+        value ^= value >> np.uint64(32)
+        value *= _M1
+        value += hashes[j : n - k + 1 + j]
+    return mix64(value + np.uint64(k))
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +260,7 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
 
 def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """``(text, hash)`` of the lines that hold a word, in order; for words of ``SPACED`` as written."""
-    if w.sums is None:
+    if w.texts == 1 and len(w.data) > PIECE:
         h, start, end = _long(w.data, LINED, False)
     else:
         bounds = np.flatnonzero(w.data == 10)
@@ -255,7 +268,7 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
         end = np.sort(np.concatenate([bounds, w.offsets[1:]]))
         some = end > start
         start, end = start[some], end[some]
-        h = _span_hashes(w.sums, start, end)
+        h = span_hashes(w.data, start, end)
     has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     h, start = h[has], start[has]
     return np.searchsorted(w.offsets, start, "right") - 1, h

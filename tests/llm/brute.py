@@ -11,6 +11,16 @@ TEXTS = [
     None, "", " \n\t ", "one", "two words", "ONE", "a b c", "é ü ß é ü ß é ü ß", LONG, LONG + " tail", "x\x00y z\x1fq", "dup line\ndup line\n\nother\ndup line",
     "# * $ % & | < >", "released under the MIT License.", "licensed under the Apache License, Version 2.0.", "  lead and trail  ",
 ]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """The first ``2**n`` letters of the Thue-Morse word and of its complement, which sums of powers cannot tell apart."""
+    swap, word = str.maketrans("ab", "ba"), "a"
+    for _ in range(n):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, part string, shard int, _size string, component_id string"
 
 

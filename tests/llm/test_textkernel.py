@@ -62,3 +62,26 @@ def test_runs(n):
     h = tk.mix64(np.arange(10, dtype=np.uint64))
     assert len(tk.shingles(h[:n], 3)) == max(0, n - 2)
     assert tk.covered(6, np.array([1, 4]), 3).tolist() == [False, True, True, True, True, True]
+
+
+@pytest.mark.parametrize("n", [5, 6, 10, 12])
+def test_words_that_sums_of_powers_confuse(n):
+    one, two = brute.thue_morse(n)
+    w = next(tk.words(pa.array([f"{one} {two} {one}", " ".join(one), " ".join(two)])))
+    assert w.hash[0] == w.hash[2] != w.hash[1]
+    first = w.first()
+    runs = [tk.shingles(w.hash[first[d] : first[d + 1]], 2**n)[0] for d in (1, 2)]
+    assert runs[0] != runs[1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=200), min_size=1, max_size=20), st.data())
+def test_bytes_are_compared(spans, data):
+    other = [data.draw(st.sampled_from([s, s[:-1] + b"!", s + b"x"])) for s in spans]
+    one, two = (np.frombuffer(b"".join(x), np.uint8) for x in (spans, other))
+    sizes, lengths = (np.array([len(s) for s in x]) for x in (spans, other))
+    starts, begins = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+    assert tk.same_bytes(one, starts, starts + sizes, two, begins, lengths).tolist() == [a == b for a, b in zip(spans, other)]
+    h, g = tk.span_hashes(one, starts, starts + sizes), tk.span_hashes(two, begins, begins + lengths)
+    assert (h == g).tolist() == [a == b for a, b in zip(spans, other)]
+    assert not (h == tk.span_hashes(one, starts, starts + sizes, 1)).any()
