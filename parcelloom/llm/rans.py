@@ -3,8 +3,8 @@
 A segment has one frequency table, shared by its blocks.  A block is coded independently of the others by
 ``lanes`` interleaved coders that write 32-bit words to one stream; its checkpoint holds the words' place
 and number, the tokens' number, the coders' final states and a CRC-32 of the words.  Any blocks can be
-decoded alone or side by side.  All blocks of a segment are coded and decoded at the same time, one array
-operation for a step of all lanes.
+decoded alone or side by side.  ``TOGETHER`` blocks are coded and decoded at the same time, one array operation
+for a step of all their lanes.
 
 Layout, little-endian: magic, u32 header length, header (JSON), then the sections it names in order:
 symbols u32, frequencies u32, checkpoints, states u64, documents' ids i64, documents' token counts u32,
@@ -20,6 +20,8 @@ import numpy as np
 
 MAGIC = b"PLRANS01"
 LANES, STEPS = 64, 1024
+#: Blocks that are coded and decoded by the same array operations.
+TOGETHER = 16
 #: States lie in [2**31, 2**63).
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 _CHECK = np.dtype([("at", "<u8"), ("words", "<u4"), ("tokens", "<u4"), ("crc", "<u4")])
@@ -47,6 +49,31 @@ def frequency_table(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols.astype(np.uint32), frequency.astype(np.uint32), scale
 
 
+def _code(coded: np.ndarray, frequency: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Final states, words and numbers of words of blocks of symbol numbers (block, step, lane)."""
+    blocks, steps, _ = coded.shape
+    # a step of all lanes of the blocks is a row
+    coded = np.ascontiguousarray(coded.transpose(1, 0, 2)).reshape(steps, blocks * LANES)
+    f64 = frequency.astype(np.uint64)
+    below = np.concatenate([np.zeros(1, np.uint64), np.cumsum(f64)[:-1]])
+    limit = f64 << np.uint64(63 - scale)
+    x = np.full(blocks * LANES, _LOW, dtype=np.uint64)
+    out = np.zeros((steps, blocks * LANES), dtype=np.uint32)
+    wrote = np.zeros((steps, blocks * LANES), dtype=bool)
+    for t in range(steps - 1, -1, -1):
+        s = coded[t]
+        full = x >= limit[s]
+        wrote[t] = full
+        out[t] = x.astype(np.uint32)
+        np.right_shift(x, _WORD, out=x, where=full)
+        f = f64[s]
+        q = x // f
+        x = (q << np.uint64(scale)) + (x - q * f) + below[s]
+    # in the order of decoding: block, step, lane
+    wrote = wrote.reshape(steps, blocks, LANES).transpose(1, 0, 2)
+    return x.reshape(blocks, LANES), out.reshape(steps, blocks, LANES).transpose(1, 0, 2)[wrote], wrote.reshape(blocks, -1).sum(axis=1)
+
+
 def encode(tokens: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray) -> bytes:
     """A segment of ``tokens``, which are those of the documents one after another."""
     symbols, frequency, scale = frequency_table(tokens)
@@ -60,28 +87,10 @@ def encode(tokens: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray) -> b
         place[symbols] = np.arange(len(symbols))
         coded = np.full(blocks * block, int(frequency.argmax()), dtype=np.int32)
         coded[:n] = place[tokens]
-        # a step of all lanes of all blocks is a row
-        coded = np.ascontiguousarray(coded.reshape(blocks, steps, LANES).transpose(1, 0, 2)).reshape(steps, blocks * LANES)
-        f64 = frequency.astype(np.uint64)
-        below = np.concatenate([np.zeros(1, np.uint64), np.cumsum(f64)[:-1]])
-        limit = f64 << np.uint64(63 - scale)
-        x = np.full(blocks * LANES, _LOW, dtype=np.uint64)
-        out = np.zeros((steps, blocks * LANES), dtype=np.uint32)
-        wrote = np.zeros((steps, blocks * LANES), dtype=bool)
-        for t in range(steps - 1, -1, -1):
-            s = coded[t]
-            full = x >= limit[s]
-            wrote[t] = full
-            out[t] = x.astype(np.uint32)
-            np.right_shift(x, _WORD, out=x, where=full)
-            f = f64[s]
-            q = x // f
-            x = (q << np.uint64(scale)) + (x - q * f) + below[s]
-        states = x.reshape(blocks, LANES)
-        # in the order of decoding: block, step, lane
-        wrote = wrote.reshape(steps, blocks, LANES).transpose(1, 0, 2)
-        stream = out.reshape(steps, blocks, LANES).transpose(1, 0, 2)[wrote]
-        checks["words"] = wrote.reshape(blocks, -1).sum(axis=1)
+        found = [_code(coded[at * block : (at + TOGETHER) * block].reshape(-1, steps, LANES), frequency, scale) for at in range(0, blocks, TOGETHER)]
+        states = np.concatenate([x for x, _, _ in found])
+        stream = np.concatenate([x for _, x, _ in found])
+        checks["words"] = np.concatenate([x for _, _, x in found])
         checks["at"] = np.concatenate([[0], np.cumsum(checks["words"])[:-1]])
         checks["tokens"] = block
         checks["tokens"][-1] = n - (blocks - 1) * block
@@ -118,6 +127,8 @@ class Segment:
         n = len(blocks)
         if not n:
             return np.zeros(0, np.uint32)
+        if n > TOGETHER:
+            return np.concatenate([self.decode(blocks[at : at + TOGETHER]) for at in range(0, n, TOGETHER)])
         checks = self.checks[blocks.start : blocks.stop]
         for b in checks:
             if zlib.crc32(self.words[int(b["at"]) : int(b["at"]) + int(b["words"])].tobytes()) != b["crc"]:

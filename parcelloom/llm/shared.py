@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Most bytes of rows that Spark hands to a Python worker at a time; a longer row goes alone.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +69,22 @@ def _remove(uri: str) -> None:
         pass  # the store is gone or was cleaned before
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as a thousand long texts are too much for one; a lower bound stays."""
+    now = (spark.conf.get(_BATCH_CONF, None) or "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give back what a task's arrays have left in the allocators, as workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own ways
+
+
 def parts_for(rows: int, each: int, least: int = 32, most: int = 65536) -> int:
     """A number of partitions that grows with the rows."""
     return max(least, min(most, -(-rows // each)))

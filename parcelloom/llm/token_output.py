@@ -5,11 +5,13 @@ A task encodes its documents with the tokenizer and writes a segment file whenev
 ``SEGMENT_TOKENS`` ids, and at its end.  Files have names of their own for each attempt; those that the
 manifest names are the valid ones.  Reading takes the manifest, in which each file has its place.
 
-A tokenizer that drops white space encodes each distinct word once, not once for each time it stands in a text.
+A tokenizer that drops white space encodes each distinct word once, not once for each time it stands in a text;
+wherever such a word stands its bytes are compared with those that were encoded.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 
 from parcelloom.llm import rans
 from parcelloom.llm import textkernel as tk
-from parcelloom.llm.shared import filesystem, parts_for, shared_dir, written
+from parcelloom.llm.shared import filesystem, parts_for, release, shared_dir, small_batches, written
 
 SEGMENT_TOKENS = 4 << 20
 #: Words whose ids a Python worker remembers from task to task, and bytes of text that are encoded at a time.
-REMEMBERED, AT_ONCE = 2 << 20, 4 << 20
+REMEMBERED, AT_ONCE = 1 << 19, 2 << 20
 #: A word that no other text shares a token with; words that hold it are encoded one by one.
 _MARK = "\x01"
 _ENCODERS: dict = {}
@@ -36,10 +38,13 @@ class TextEncoder:
     """Ids of whole texts.
 
     If the tokenizer drops white space, texts are put together from the ids of their words, which are kept by
-    the words' fingerprints; new words are encoded many to a line, with marks between them.
+    the words' fingerprints and spelled out beside them; new words are encoded many to a line, with marks between
+    them.  Should a word have the fingerprint of another one, its whole batch is encoded text by text.
     """
 
     def __init__(self, path: str) -> None:
+        # tasks are what runs side by side
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,57 +63,66 @@ class TextEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.known, self.begin, self.number, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.number, self.at, self.size = (np.zeros(0, np.int32) for _ in range(4))
+        self.ids, self.spelled = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lines = self._ids([f" {_MARK} ".join([*texts[i : i + 64], ""]) for i in range(0, len(texts), 64)])
-        ids = np.concatenate([np.array(x, dtype=np.uint32) for x in lines])
+        parts = []
+        for i in range(0, len(texts), 64):
+            parts.append(np.array(self._ids([f" {_MARK} ".join([*texts[i : i + 64], ""])])[0], dtype=np.uint32))
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.mark)
         return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._ids(texts)
-        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+        found = [np.array(self._ids([t])[0], dtype=np.uint32) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
-    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        odd = np.array([_MARK in t for t in texts])
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        odd = np.array([_MARK.encode() in t for t in words])
         for use, encode in ((~odd, self._encode_words), (odd, self._one_by_one)):
             if use.any():
-                ids, number = encode([t for t, u in zip(texts, use.tolist()) if u])
+                mine = [t for t, u in zip(words, use.tolist()) if u]
+                ids, number = encode([t.decode("utf-8") for t in mine])
+                size = np.array([len(t) for t in mine], dtype=np.int64)
                 begin = len(self.ids) + np.cumsum(number) - number
+                spelled = len(self.spelled) + np.cumsum(size) - size
                 at = np.searchsorted(self.known, h[use])
-                self.known, self.begin, self.number = np.insert(self.known, at, h[use]), np.insert(self.begin, at, begin), np.insert(self.number, at, number)
+                self.known = np.insert(self.known, at, h[use])
+                self.begin, self.number = np.insert(self.begin, at, begin), np.insert(self.number, at, number)
+                self.at, self.size = np.insert(self.at, at, spelled), np.insert(self.size, at, size)
                 self.ids = np.concatenate([self.ids, ids])
+                self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(mine), np.uint8)])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and how many each has."""
         if not self.by_word:
             return self._one_by_one(column.fill_null("").to_pylist())
-        hashes, counts, spelled = [], [], {}
-        for w in tk.words(column):
+        found = list(tk.words(column))
+        new: dict[int, bytes] = {}
+        for w in found:
             h, first = np.unique(w.hash, return_index=True)
-            new = ~self._knows(h)
-            raw = w.data
-            for x, i in zip(h[new].tolist(), first[new].tolist()):
-                if x not in spelled:
-                    spelled[x] = raw[w.start[i] : w.end[i]].tobytes()
-            hashes.append(w.hash)
-            counts.append(w.counts())
-        if not hashes or not sum(map(len, hashes)):
-            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        if spelled:
-            if len(self.known) + len(spelled) > REMEMBERED and len(self.known):
+            fresh = ~self._knows(h)
+            for x, i in zip(h[fresh].tolist(), first[fresh].tolist()):
+                if x not in new:
+                    new[x] = w.data[w.start[i] : w.end[i]].tobytes()
+        if new:
+            if len(self.known) and (len(self.known) + len(new) > REMEMBERED or len(self.spelled) > 16 * REMEMBERED):
                 self._forget()
                 return self.encode(column)
-            h = np.sort(np.array(list(spelled), dtype=np.uint64))
-            self._learn(h, [spelled[x].decode("utf-8") for x in h.tolist()])
-        h, n = np.concatenate(hashes), np.concatenate(counts)
-        at = np.searchsorted(self.known, h)
-        begin, number = self.begin[at].astype(np.int64), self.number[at].astype(np.int64)
-        total = np.cumsum(number)
-        ids = self.ids[np.arange(int(total[-1])) + np.repeat(begin - (total - number), number)]
-        ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(n)])]
-        return ids, np.diff(ends)
+            h = np.sort(np.array(list(new), dtype=np.uint64))
+            self._learn(h, [new[x] for x in h.tolist()])
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for w in found:
+            at = np.searchsorted(self.known, w.hash)
+            if len(at) and not tk.same_bytes(w.data, w.start, w.end, self.spelled, self.at[at], self.size[at]).all():
+                return self._one_by_one(column.fill_null("").to_pylist())
+            begin, number = self.begin[at].astype(np.int64), self.number[at].astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(number)])
+            ids.append(self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], number)])
+            counts.append(np.diff(total[w.first()]))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _knows(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -154,6 +168,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 lo = hi
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -167,6 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_
     """
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = parts_for(docs.count(), 4096, 8)
     files = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_write(folder, tokenizer, end_id), "part int, seq int, file string, docs long, tokens long")
@@ -186,6 +202,7 @@ def _read(folder: str, fn):
                 with fs.open_input_file(f"{path}/{name}") as f:
                     segment = rans.Segment(f.read())
                 yield fn(segment, segment.decode(), start)
+        release()
 
     return run
 
