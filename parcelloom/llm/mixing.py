@@ -17,16 +17,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelloom.llm import textkernel as tk
-from parcelloom.llm.shared import numbered, restored, written
+from parcelloom.llm.shared import numbered, restored, small_batches, written
 
 #: Probabilities are multiples of 1 / ONE.
 ONE = 1 << 30
 BUCKET, FAN_IN = 8192, 256
+#: Buckets of a task, about, and copies of a repeated row that are written by one.
+BUCKETS_A_TASK, LOT = 2, 4096
 MAX_SOURCES = 100_000
 
 
@@ -54,17 +56,24 @@ def targets(sizes: dict, weights: dict, most: int = 3) -> dict:
     return out
 
 
-def with_words(docs: DataFrame, text: str = "text", size: str = "_size") -> DataFrame:
-    """``docs`` with the number of words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0)."""
-    schema = T.StructType([f for f in docs.schema if f.name != size] + [T.StructField(size, T.LongType())])
-    keep = [i for i, f in enumerate(docs.schema) if f.name != size]
-    at = docs.columns.index(text)
+def _count_words(column: pa.Array) -> pa.Array:
+    return pa.array(tk.word_counts(column))
+
+
+def n_words(text: Column) -> Column:
+    """The number of words ``[^\\x20\\x09-\\x0D]+`` of a text (null: 0).  Only texts go to Python and only numbers come back."""
+    return F.arrow_udf(_count_words, "long")(text.cast("string"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A fingerprint of a row: rows that agree in it and in their document's id are the same."""
+    return F.xxhash64(F.lit(29), *(c.name for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(tk.word_counts(b.column(at)))], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+def _groups(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """Equal rows as one: ``_id, _source, _size, _hash`` and ``_n``, how many there are."""
+    narrow = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), _row_hash(docs).alias("_hash"))
+    return written(narrow.groupBy("_id", "_source", "_size", "_hash").agg(F.count("*").alias("_n")), "groups")
 
 
 def _draw(*key) -> int:
@@ -147,21 +156,23 @@ def _pivot(seed: int, names: list[str]):
 
 
 def mix(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``_copies`` (how often the mix takes the row), ``_size``, ``_source_size`` and ``_target``.
+    """``doc_id, source`` of every row, ``_copies`` (how often the mix takes it), ``_size``, ``_source_size`` and ``_target``.
 
     ``weights`` maps the list of sources to a weight for each.  Sizes are words; a null, empty or blank text
     has none and is taken as its source's whole part says, which adds no words.  A null source is a source.
-    Outcomes depend on the seed, the key and the size of a row, so reruns agree; rows that repeat key and
-    size are interchangeable.  Columns with these four names are replaced, other columns stay.  An empty table gives an empty result.
+    Outcomes depend on the seed, the id, the size and the content of a row, so reruns agree; equal rows share the
+    copies of all of them, as evenly as can be.  Other columns are not returned.  An empty table gives an empty result.
     Up to ``MAX_SOURCES`` sources are planned on the driver.  Beyond, cyclic weights are planned in Spark, with the same
     results; other weights, which need a list of all sources, raise a ValueError there.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType
+    small_batches(spark)
     docs, names = numbered(docs)
-    doc_id, text, source = (names[c] for c in (doc_id, text, source))
-    totals = with_words(docs.select(source, text), text).groupBy(F.col(source).alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
-    out = _mixed(spark, with_words(docs, text), totals, weights, most, seed, doc_id, source)
-    return restored(out, names, "_copies", "_size", "_source_size", "_target")
+    taken = _mixed(spark, _groups(docs, names[doc_id], names[text], names[source]), weights, most, seed)
+    # a row for each of the equal rows; the first of them have what does not divide
+    each = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    share = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_i") < F.col("_copies") % F.col("_n"), 1).otherwise(0)
+    return each.select(F.col("_id").cast(kind).alias(doc_id), F.col("_source").alias(source), share.cast("long").alias("_copies"), "_size", "_source_size", "_target")
 
 
 _PLAN = "_s string, _src int, _source_size long, _target double, _whole long, _part long, _buckets int"
@@ -202,7 +213,9 @@ def _plan_of_many(totals: DataFrame, most: int) -> DataFrame:
     return written(spark.createDataFrame(named.rdd.map(planned), _PLAN), "plan")
 
 
-def _mixed(spark, sized: DataFrame, totals: DataFrame, weights, most: int, seed: int, doc_id: str, source: str) -> DataFrame:
+def _mixed(spark, groups: DataFrame, weights, most: int, seed: int) -> DataFrame:
+    """The ``groups`` with ``_source_size, _target`` and ``_copies``, how often the rows of a group are taken in all."""
+    totals = groups.groupBy(F.col("_source").alias("s")).agg(F.sum(F.col("_size") * F.col("_n")).alias("size"), F.count("*").alias("rows"))
     found = totals.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         if weights is not cyclic_weights:
@@ -216,15 +229,19 @@ def _mixed(spark, sized: DataFrame, totals: DataFrame, weights, most: int, seed:
         plan = [_planned(r["s"], n, r["size"], r["rows"], goal[r["s"]], BUCKET) for n, r in enumerate(sorted(found, key=lambda r: (r["s"] is None, r["s"])))]
         n_buckets, deep = sum(p[6] for p in plan), max([p[6] for p in plan], default=1)
         table = F.broadcast(spark.createDataFrame(plan, _PLAN))
-    rows = sized.join(table, F.col(source).eqNullSafe(F.col("_s")))
-    key = F.col(doc_id).cast("string")
-    mass = F.when(F.col("_part") * F.col("_size") > 0, F.col("_part") * F.col("_size"))
-    rows = rows.select(*sized.columns, "_source_size", "_target", "_src", F.pmod(F.xxhash64(key, "_size"), F.col("_buckets")).cast("int").alias("_bucket"), key.alias("_key"), mass.alias("_mass"), F.col("_whole").alias("_copies"))
+    rows = groups.join(table, F.col("_source").eqNullSafe(F.col("_s")))
+    # of n equal rows whole copies are taken for sure, and the rest is the fraction of one row
+    key, parts = F.concat_ws(":", F.coalesce("_id", F.lit("")), F.col("_hash").cast("string")), F.col("_part") * F.col("_n")
+    left = F.pmod(parts, F.lit(ONE))
+    mass = F.when(left * F.col("_size") > 0, left * F.col("_size"))
+    sure = F.col("_whole") * F.col("_n") + F.when(F.col("_size") > 0, F.shiftright(parts, ONE.bit_length() - 1)).otherwise(0)
+    rows = rows.select(*groups.columns, "_source_size", "_target", "_src", F.pmod(F.xxhash64(key, "_size"), F.col("_buckets")).cast("int").alias("_bucket"), key.alias("_key"), mass.alias("_mass"), sure.alias("_copies"))
     levels = []
     while True:
-        n = max(1, n_buckets)
+        # some buckets to a task, however many there are
+        n = max(1, -(-n_buckets // BUCKETS_A_TASK))
         run = _pivot(seed + len(levels), rows.columns)
-        done = rows.repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)), "_src", "_bucket").sortWithinPartitions("_src", "_bucket", F.desc("_size"), "_key").mapInArrow(run, rows.schema)
+        done = rows.repartition(n, "_src", "_bucket").sortWithinPartitions("_src", "_bucket", F.desc("_size"), "_key").mapInArrow(run, rows.schema)
         done = written(done, "level")
         levels.append(done.where("_mass is null"))
         rest = done.where("_mass is not null")
@@ -243,16 +260,33 @@ def _mixed(spark, sized: DataFrame, totals: DataFrame, weights, most: int, seed:
 
 
 def mixed_rows(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns (see ``mix``)."""
-    plain, names = numbered(docs)
-    taken = mix(plain, weights, most, seed, names[doc_id], names[text], names[source]).where("_copies > 0")
-    return restored(taken.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))), names)
+    """The rows of ``docs``, each as often as the mix takes it, with their columns (see ``mix``).
+
+    What is taken is decided on narrow rows; texts move once, to the decisions, and only within the JVM.  Equal rows
+    are taken together: one of them is written as often as all are taken.  Null ids and texts are values like others,
+    columns keep their names, and an empty table stays empty.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs, names = numbered(docs)
+    key = names[doc_id]
+    taken = _mixed(spark, _groups(docs, key, names[text], names[source]), weights, most, seed).where("_copies > 0")
+    taken = written(taken.select("_id", F.col("_hash").alias("_row"), "_copies", "_n"), "taken")
+    hashed = docs.withColumn("_h", _row_hash(docs))
+    same = (F.col("_h") == F.col("_row")) & F.col(key).cast("string").eqNullSafe(F.col("_id"))
+    # the decisions are the side that is held in memory, a partition at a time
+    found = hashed.join(taken.where("_n = 1").hint("shuffle_hash"), same)
+    out = found.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("col")
+    if not taken.where("_n > 1").isEmpty():
+        # equal rows become one before they meet, and its copies are spread in lots
+        one = hashed.join(taken.where("_n > 1").hint("shuffle_hash"), same).groupBy("_row", "_id", "_copies").agg(*(F.first(c).alias(c) for c in docs.columns))
+        lots = one.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / LOT)))).repartition("_row", "_lot")
+        here = F.least(F.lit(LOT), F.col("_copies") - F.col("_lot") * LOT).cast("int")
+        out = out.unionByName(lots.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), here))).drop("col"))
+    return restored(out, names)
 
 
 def op9_pivotal_mixing(spark, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 over the sources of all documents, none taken more than three times over."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sized = written(with_words(docs).drop("text"), "sizes")
-    totals = sized.groupBy(F.col("source").alias("s")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
-    out = _mixed(spark, sized, totals, cyclic_weights, 3, 17, "doc_id", "source")
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -336,8 +336,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     members = members.join(of_block.select("root", cut.alias("cut")), "root")
     members = members.select(F.col("node").alias("doc_id"), "root", "copies", "cut", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int").alias("own"))
-    # a merge join at every size: texts move once, and nothing that grows with the input is broadcast
-    rows = docs.join(written(members.dropDuplicates(["doc_id"]), "members").hint("merge"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
+    # texts move once and are not sorted, and nothing that grows with the input is broadcast: members are held a partition at a time
+    rows = docs.join(written(members.dropDuplicates(["doc_id"]), "members").hint("shuffle_hash"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
     rows = rows.mapInArrow(_rows(k), "doc_id long, root long, copies long, cut int, own int, body binary")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), F.when(F.col("own") > x, 1).otherwise(0).alias("side"))))
     rows = rows.select("doc_id", "root", "copies", "body", pair.alias("p")).select(F.col("root").alias("block"), "p.i", "p.j", "p.side", "doc_id", "copies", "body")
@@ -361,7 +361,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
     key = names[doc_id]
     found = ngram_jaccard_join(docs, k, num, den, key, names[text])
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return restored(docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("_gone"), "left_anti"), names)
+    return restored(docs.join(gone.hint("shuffle_hash"), F.col(key).cast("long") == F.col("_gone"), "left_anti"), names)
 
 
 def _sizes(k: int):

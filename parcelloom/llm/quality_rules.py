@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelloom.llm import textkernel as tk
-from parcelloom.llm.shared import written
+from parcelloom.llm.shared import numbered, release, restored, small_batches, written
 
 #: Character classes by byte; of a code point outside ASCII its first byte counts.
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, STOP, PUNCT, OTHER, REST, CONTROL = range(10)
@@ -66,8 +66,9 @@ class QualityRules:
     reference_min_words: int = 5000
 
 
-def _languages(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
-    names = batch.column(1).dictionary_encode()
+def _languages(column: pa.Array) -> tuple[list, np.ndarray]:
+    """The languages of a column, null last, and the place among them of each row's."""
+    names = column.dictionary_encode()
     code = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
     return [*names.dictionary.to_pylist(), None], code
 
@@ -88,7 +89,7 @@ def _frequent(rarest: int):
         summary: dict = {}
         totals: dict = {}
         for batch in batches:
-            names, code = _languages(batch)
+            names, code = _languages(batch.column(1))
             for w in tk.words(batch.column(2)):
                 lang = code[w.lo : w.hi]
                 for c in np.unique(lang).tolist():
@@ -129,7 +130,7 @@ def _totals(tables):
         classes: dict = {}
         totals: dict = {}
         for batch in batches:
-            names, code = _languages(batch)
+            names, code = _languages(batch.column(1))
             for w in tk.words(batch.column(2)):
                 histogram = tk.byte_classes(w, CLASS, CLASSES)
                 lang = code[w.lo : w.hi]
@@ -208,35 +209,56 @@ def base_counts(w: tk.Words) -> dict[str, np.ndarray]:
 _OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField(n, T.BooleanType()) for n in ("base_failed", "kept")] + [T.StructField(n, T.DoubleType()) for n in ("class_distance", "word_distance")])
 
 
+def _verdicts(w: tk.Words, langs: list, code: np.ndarray, refs: dict, rules: QualityRules) -> dict[str, np.ndarray]:
+    """Base counts, verdicts and distances of a group of texts; ``code`` are places in ``langs``."""
+    b = base_counts(w)
+    n = b["n_words"]
+    failed = (n < rules.min_words) | (100 * b["n_repeat_words"] > rules.repeat_percent * n)
+    far = {"class": np.full(w.texts, np.nan), "word": np.full(w.texts, np.nan)}
+    for c in np.unique(code):
+        if (ref := refs.get(langs[c])) is None:
+            continue
+        mine = np.flatnonzero(code == c)
+        shares, table, common = ref
+        counted = b["classes"][mine][:, COUNTED]
+        long = counted.sum(axis=1) >= rules.class_min_chars
+        far["class"][mine[long]] = js_distance(counted[long].astype(float), shares)
+        long = mine[n[mine] >= rules.word_min_words]
+        number = np.full(w.texts, -1)
+        number[long] = np.arange(len(long))
+        own = number[w.doc] >= 0
+        cell = number[w.doc[own]] * len(common) + _place(table, w.hash[own])
+        far["word"][long] = js_distance(np.bincount(cell, minlength=len(long) * len(common)).reshape(len(long), len(common)).astype(float), common)
+    kept = ~failed & ~(far["class"] > rules.class_distance) & ~(far["word"] > rules.word_distance)
+    return {**{k: v for k, v in b.items() if k != "classes"}, "base_failed": failed, "kept": kept, "class_distance": far["class"], "word_distance": far["word"]}
+
+
 def _judge(refs, rules: QualityRules):
     """Verdicts of batches of ``doc_id, lang, text``."""
     names = _OUT.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, code = _languages(batch)
+            langs, code = _languages(batch.column(1))
             for w in tk.words(batch.column(2)):
-                b = base_counts(w)
-                n, lang = b["n_words"], code[w.lo : w.hi]
-                failed = (n < rules.min_words) | (100 * b["n_repeat_words"] > rules.repeat_percent * n)
-                far = {"class": np.full(w.texts, np.nan), "word": np.full(w.texts, np.nan)}
-                for c in np.unique(lang):
-                    if (ref := refs.value.get(langs[c])) is None:
-                        continue
-                    mine = np.flatnonzero(lang == c)
-                    shares, table, common = ref
-                    counted = b["classes"][mine][:, COUNTED]
-                    long = counted.sum(axis=1) >= rules.class_min_chars
-                    far["class"][mine[long]] = js_distance(counted[long].astype(float), shares)
-                    long = mine[n[mine] >= rules.word_min_words]
-                    number = np.full(w.texts, -1)
-                    number[long] = np.arange(len(long))
-                    own = number[w.doc] >= 0
-                    cell = number[w.doc[own]] * len(common) + _place(table, w.hash[own])
-                    far["word"][long] = js_distance(np.bincount(cell, minlength=len(long) * len(common)).reshape(len(long), len(common)).astype(float), common)
-                kept = ~failed & ~(far["class"] > rules.class_distance) & ~(far["word"] > rules.word_distance)
-                columns = {**{k: pa.array(v.astype(np.int64)) for k, v in b.items() if k != "classes"}, "doc_id": batch.column(0).slice(w.lo, w.texts).cast(pa.int64()), "base_failed": pa.array(failed), "kept": pa.array(kept), "class_distance": pa.array(far["class"], from_pandas=True), "word_distance": pa.array(far["word"], from_pandas=True)}
+                found = _verdicts(w, langs, code[w.lo : w.hi], refs.value, rules)
+                columns = {k: pa.array(v.astype(np.int64) if v.dtype.kind in "iu" else v, from_pandas=True) for k, v in found.items()}
+                columns["doc_id"] = batch.column(0).slice(w.lo, w.texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([columns[x] for x in names], names=names)
+        release()
+
+    return run
+
+
+def _is_good(refs, rules: QualityRules):
+    """A function of texts and languages: which are kept."""
+
+    def run(text: pa.Array, lang: pa.Array) -> pa.Array:
+        langs, code = _languages(lang)
+        out = [np.zeros(0, bool)]
+        for w in tk.words(text):
+            out.append(_verdicts(w, langs, code[w.lo : w.hi], refs.value, rules)["kept"])
+        return pa.array(np.concatenate(out))
 
     return run
 
@@ -250,23 +272,26 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id:
     own.  A distance is null, and decides nothing, where the text or its language's reference is too short
     (see ``QualityRules``).  Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
     return docs.mapInArrow(_judge(refs, rules), _OUT)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle."""
-    fixed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    judge = _judge(docs.sparkSession.sparkContext.broadcast(references(fixed, rules)), rules)
-    at = [docs.columns.index(c) for c in (doc_id, lang, text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [v.column(7) for v in judge([pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=["doc_id", "lang", "text"])])]
-            yield batch.filter(pa.chunked_array(kept, pa.bool_()).combine_chunks()) if kept else batch
+    """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle.
 
-    return docs.mapInArrow(run, docs.schema)
+    Only texts and languages go to Python and only verdicts come back.  Rows are judged one by one as in
+    ``quality_rules``: null, empty and blank texts go, a null doc_id or language changes nothing, repeated rows stay
+    or go together, extra columns stay under any name, and an empty table stays empty.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs, names = numbered(docs)
+    fixed = docs.select(F.col(names[doc_id]).cast("string").alias("doc_id"), F.col(names[lang]).cast("string").alias("lang"), F.col(names[text]).cast("string").alias("text"))
+    refs = spark.sparkContext.broadcast(references(fixed, rules))
+    good = F.arrow_udf(_is_good(refs, rules), "boolean")
+    return restored(docs.where(good(F.col(names[text]).cast("string"), F.col(names[lang]).cast("string"))), names)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelloom.llm import mixing, rans, sharding, token_output, warc
 from tests.llm import brute
@@ -90,6 +91,25 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in repeated.collect()) == Counter({r["doc_id"]: r["_copies"] for r in rows if r["_copies"]})
 
 
+def test_equal_rows_are_mixed_together(spark):
+    rows = [(1, "a b c", "x", 5)] * 300 + [(None, "d e", "x", 6)] * 100 + [(None, None, None, None)] * 50 + [(i, "w " * (i % 9), "y", i) for i in range(200)] + [(7, "same", "y", 1), (7, "same", "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int").repartition(5)
+    taken = mixing.mix(df).collect()
+    assert len(taken) == len(rows) and Counter(r["doc_id"] for r in taken) == Counter(r[0] for r in rows)
+    for source in ("x", "y"):
+        own = [r for r in taken if r["source"] == source]
+        assert abs(sum(r["_copies"] * r["_size"] for r in own) - own[0]["_target"]) <= 9
+        assert max(r["_copies"] for r in own) - min(r["_copies"] for r in own) <= 1
+    got = mixing.mixed_rows(df).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter({k: n for k in {(r["doc_id"], r["source"]) for r in taken} if (n := sum(r["_copies"] for r in taken if (r["doc_id"], r["source"]) == k))})
+    assert {tuple(r) for r in got} <= set(rows)
+
+
+def test_a_hundred_thousand_equal_rows(spark):
+    df = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    assert mixing.mixed_rows(df).count() == 100_000
+
+
 def test_mix_of_little(spark):
     assert mixing.mix(brute.documents(spark, [])).count() == 0
     one = mixing.mix(brute.documents(spark, ["a b c"])).first()
@@ -181,6 +201,18 @@ def test_a_tokenizer_that_keeps_white_space(spark):
     assert n.tolist() == [len(t.encode(x).ids) for x in ("a  b", "", " c")]
 
 
+def test_words_with_one_fingerprint(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    plain = token_output.tk.span_hashes
+    monkeypatch.setattr(token_output.tk, "span_hashes", lambda *a: plain(*a) % np.uint64(3))
+    e = token_output.TextEncoder(tokenizer)
+    for text in ("a b c d", "e f g h", "a b x y z w v u", "a"):
+        ids, n = e.encode(pa.array([text, None, text]))
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
+
+
 def test_forgetting_words(tokenizer, monkeypatch):
     import pyarrow as pa
 

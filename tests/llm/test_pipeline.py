@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parcelloom.llm.shared import written
 from tests.llm import brute
@@ -42,7 +44,26 @@ def test_an_empty_table_goes_through(spark, tmp_path):
         assert docs.count() == 0
 
 
-def test_nulls_go_through(spark):
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls, repeated rows, very long texts and columns with operators' own names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = docs.where("doc_id < 60")
+    long = " ".join(r["text"] for r in docs.where("lang = 'en' and n_chars > 300").dropDuplicates(["text"]).orderBy("doc_id").collect())
+    assert len(long) > 100_000
+    odd = [(None, None, None, None, None)] * 3 + [(10**9, None, None, None, None), (10**9 + 1, "", "en", "x", 0), (10**9 + 2, long, "en", "x", 1), (10**9 + 2, long, "en", "x", 1), (None, long + " end", "en", None, 2)]
+    docs = plain.unionByName(spark.createDataFrame(odd, plain.schema))
+    for n, name in enumerate(("_h", "_row", "_copies", "block", "c0", "_out", "rows", "text_crc32", "shard")):
+        docs = docs.withColumn(name, F.lit(n))
+    names = docs.columns
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = written(stage(spark, docs, SF))
+        assert docs.columns == (names if n < 4 else ["doc_id", "start", "n_tokens", "ids_crc32"])
+        if n == 0:  # only the long texts have words enough
+            assert docs.where("doc_id is null").count() == 1 and docs.where(f"doc_id = {10**9 + 2}").count() == 2
+    assert docs.count() > 10
+
+
+def test_stages_keep_rows_without_ids(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (10**9, None, None, None, None), (10**9 + 1, "", "en", "x", 0)], docs.schema)
     docs = docs.limit(20).unionByName(odd)
