@@ -9,12 +9,13 @@ blocks are the index, every rolling run of 7 words is a probe, and hits are exte
     run that many documents have leaves a chunk a few times, not once for each document.
 2.  Each part finds, for each run, the least document with it as a block and the greatest with it at all, and
     answers with bits: which probes are hit by an earlier block, which blocks hit a later probe.
-3.  Extension.  The windows around hits go, with full fingerprints, the same way as the runs: those of the earlier
-    document around its block, those of the later one around its probe.  The answer is which windows start in
+3.  Extension.  The windows around hits go, with fingerprints of 126 bits, the same way as the runs: those of the
+    earlier document around its block, those of the later one around its probe.  The answer is which windows start in
     an earlier document.  Overlapping windows make up the maximal repeats.
 4.  Each chunk is read again and the words that repeats cover are removed.
 
-Texts are not shuffled.  Chunks have names that a rerun of a task gives again, so a lost executor costs its tasks.
+Texts are not shuffled, and an entry of the shuffles has a size that depends on nothing but the spread of its chunk's
+doc_ids.  Chunks have names that a rerun of a task gives again, so a lost executor costs its tasks.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelloom.llm import textkernel as tk
-from parcelloom.llm.shared import filesystem, parts_for, shared_dir, written
+from parcelloom.llm.shared import filesystem, parts_for, release, shared_dir, small_batches, written
 
 CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 16000
-#: Bits of a run's fingerprint within its part; windows have 62.
+#: Bits of a run's fingerprint within its part; windows have 62 and 64 more.
 RUN_BITS = 28
 _NONE = np.iinfo(np.int64).max
-_ROWS = "chunk string, part int, ids binary, keys binary, docs binary"
+_ROWS = "chunk string, part int, base long, keys binary, docs binary, flags binary"
 _MASKS = "chunk string, kind int, part int, a binary, b binary"
 
 
@@ -56,6 +57,12 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(gap, dtype=np.int64)[gap != 65535]
 
 
+def _width(ids: np.ndarray) -> str:
+    """The least type that holds the distances of sorted ids from the first."""
+    far = int(ids[-1]) - int(ids[0]) if len(ids) else 0
+    return "<u2" if far < 1 << 16 else "<u4" if far < 1 << 32 else "<u8"
+
+
 def _least(value: np.ndarray, use: np.ndarray, begins: np.ndarray, none: int) -> np.ndarray:
     """For each row the least value in use in its run."""
     low = np.minimum.reduceat(np.where(use, value, none), begins)
@@ -69,6 +76,7 @@ class Chunk:
     ids: np.ndarray  # the chunk's doc_ids, sorted, each once
     rank: np.ndarray  # each text's place in ids
     hash: np.ndarray  # words
+    again: np.ndarray  # words, by another seed; of none where positions are not asked for
     doc: np.ndarray
     first: np.ndarray
     at: np.ndarray  # where runs begin (words)
@@ -88,6 +96,7 @@ class Method:
     def chunk(self, ids: np.ndarray, texts: pa.Array, positions: bool) -> Chunk:
         sorted_ids, rank = np.unique(ids, return_inverse=True)
         h, doc, first = tk.all_words(texts)
+        again = tk.all_words(texts, seed=1)[0] if positions else np.zeros(0, np.uint64)
         n = self.run
         if len(h) >= n:
             long = np.diff(first) >= self.window
@@ -115,15 +124,15 @@ class Method:
         key, owner, block = packed >> np.uint64(16), (packed >> np.uint64(1) & np.uint64(0x7FFF)).astype(np.int64), (packed & np.uint64(1)).astype(bool)
         if not len(key):
             none = np.zeros(0, bool)
-            return Chunk(sorted_ids, rank, h, doc, first, at, row, key, owner, none, none, none, none)
+            return Chunk(sorted_ids, rank, h, again, doc, first, at, row, key, owner, none, none, none, none)
         new = tk.first_of_runs(key)
         begins = np.flatnonzero(new)
         least = _least(owner, block, begins, 1 << 20)
         most = np.repeat(owner[np.append(begins[1:], len(key)) - 1], np.diff(np.append(begins, len(key))))
-        return Chunk(sorted_ids, rank, h, doc, first, at, row, key, owner, block, owner > least, block & (owner < most), (owner <= least) | (owner == most))
+        return Chunk(sorted_ids, rank, h, again, doc, first, at, row, key, owner, block, owner > least, block & (owner < most), (owner <= least) | (owner == most))
 
     def windows(self, c: Chunk, masks: dict) -> tuple[np.ndarray, ...]:
-        """Where candidate windows begin, each one's row, and the rows: key, rank, probe, ref, hit within the chunk, sent."""
+        """Where candidate windows begin, each one's row, and the rows: keys, rank, probe, ref, hit within the chunk, sent."""
         probe, block = c.probe_hit.copy(), c.block_hit.copy()
         sent = np.flatnonzero(c.sent)
         bounds = np.searchsorted((c.key[sent] >> np.uint64(RUN_BITS)).astype(np.int64), np.arange(self.parts + 1))
@@ -144,10 +153,10 @@ class Method:
         use = is_probe | is_ref
         start, is_probe, is_ref = start[use], is_probe[use], is_ref[use]
         key = (tk.shingles(c.hash, k)[start] if len(start) else np.zeros(0, np.uint64)) >> np.uint64(2)
+        key = np.stack([key, tk.shingles(c.again, k)[start] if len(start) else key], axis=1)
         owner = c.rank[c.doc[start]]
-        part = (key % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((owner, key, part))
-        new = tk.first_of_runs(key[order], owner[order]) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((owner, key[:, 1], key[:, 0], key[:, 0] % np.uint64(self.parts)))
+        new = tk.first_of_runs(key[order, 0], key[order, 1], owner[order]) if len(order) else np.zeros(0, bool)
         row = np.empty(len(order), dtype=np.int64)
         row[order] = np.cumsum(new) - 1
         begins = np.flatnonzero(new)
@@ -157,7 +166,7 @@ class Method:
         p = np.logical_or.reduceat(is_probe[order], begins)
         r = np.logical_or.reduceat(is_ref[order], begins)
         key, owner = key[order][begins], owner[order][begins]
-        least = _least(owner, r, np.flatnonzero(tk.first_of_runs(key)), 1 << 20)
+        least = _least(owner, r, np.flatnonzero(tk.first_of_runs(key[:, 0], key[:, 1])), 1 << 20)
         return start, row, key, owner, p, r, p & (owner > least), (p & (owner <= least)) | (r & (owner == least))
 
 
@@ -178,7 +187,7 @@ def _save(fs, path: str, name: str, ids: np.ndarray, texts: pa.Array) -> None:
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*(x.split() for x in schema.split(", ")))
     columns = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
@@ -197,17 +206,17 @@ def _scan(method: Method, folder: str):
                 name, texts = f"{part_id:06d}-{next(number):05d}", batch.column(1).slice(lo, hi - lo)
                 _save(fs, path, name, ids[lo:hi], texts)
                 c = method.chunk(ids[lo:hi], texts, False)
-                rows = [(name, -1 - zlib.crc32(name.encode()) % method.parts, None, None, None)]
-                key = c.key[c.sent]
-                docs = (c.owner[c.sent] << 1 | c.block[c.sent]).astype("<u2")
+                rows = [(name, -1 - zlib.crc32(name.encode()) % method.parts, None, None, None, None)]
+                key, block = c.key[c.sent], c.block[c.sent]
+                docs = (c.ids - c.ids[0]).view(np.uint64).astype(_width(c.ids))[c.owner[c.sent]]
                 bounds = np.searchsorted((key >> np.uint64(RUN_BITS)).astype(np.int64), np.arange(method.parts + 1))
                 low = (key & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)
-                table = zlib.compress(c.ids.astype("<i8").tobytes(), 1)
                 for p in np.flatnonzero(np.diff(bounds)).tolist():
                     own = slice(bounds[p], bounds[p + 1])
-                    rows.append((name, p, table, _pack(low[own]), docs[own].tobytes()))
+                    rows.append((name, p, int(c.ids[0]), _pack(low[own]), docs[own].tobytes(), _bits(block[own])))
                 yield _batch(_ROWS, rows)
                 lo = hi
+        release()
 
     return run
 
@@ -230,11 +239,13 @@ def _by_part(solve):
     return run
 
 
-def _entries(rows: list[tuple], unpack, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def _entries(rows: list[tuple], unpack, flags: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
+    """The entries of a part's rows one after another: keys, ids and so many flags; and where each row's begin."""
     keys = [unpack(r[3]) for r in rows]
-    docs = [np.frombuffer(r[4], "<u2") for r in rows]
-    ids = [np.frombuffer(zlib.decompress(r[2]), "<i8")[d >> shift] for r, d in zip(rows, docs)]
-    return np.concatenate(keys), np.concatenate(ids), np.concatenate(docs), np.cumsum([0, *map(len, keys)]).tolist()
+    ids = [(np.frombuffer(r[4], f"<u{len(r[4]) // len(k)}").astype(np.uint64) + np.int64(r[2]).view(np.uint64)).view(np.int64) for r, k in zip(rows, keys)]
+    size = [-(-len(k) // 8) for k in keys]
+    bits = [np.concatenate([np.unpackbits(np.frombuffer(r[5][f * n : (f + 1) * n], np.uint8), count=len(k)) for r, k, n in zip(rows, keys, size)]).astype(bool) for f in range(flags)]
+    return np.concatenate(keys), np.concatenate(ids), bits, np.cumsum([0, *map(len, keys)]).tolist()
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -244,10 +255,10 @@ def _bits(x: np.ndarray) -> bytes:
 def _probe_part(rows: list[tuple]) -> list[tuple]:
     if rows[0][1] < 0:
         return [(r[0], 0, r[1], None, None) for r in rows]
-    key, doc, flags, ends = _entries(rows, _unpack, 1)
+    key, doc, (flag,), ends = _entries(rows, _unpack, 1)
     order = np.argsort(key, kind="stable")
     begins = np.flatnonzero(tk.first_of_runs(key[order]))
-    d, block = doc[order], (flags[order] & 1).astype(bool)
+    d, block = doc[order], flag[order]
     most = np.repeat(np.maximum.reduceat(d, begins), np.diff(np.append(begins, len(d))))
     probe_hit, block_hit = np.empty(len(d), bool), np.empty(len(d), bool)
     probe_hit[order] = d > _least(d, block, begins, _NONE)
@@ -256,12 +267,12 @@ def _probe_part(rows: list[tuple]) -> list[tuple]:
 
 
 def _window_part(rows: list[tuple]) -> list[tuple]:
-    key, doc, flags, ends = _entries(rows, lambda raw: np.frombuffer(raw, "<u8"), 2)
-    order = np.argsort(key, kind="stable")
-    begins = np.flatnonzero(tk.first_of_runs(key[order]))
-    d, f = doc[order], flags[order]
+    key, doc, (probe, ref), ends = _entries(rows, lambda raw: np.frombuffer(raw, "<u8").reshape(-1, 2), 2)
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    begins = np.flatnonzero(tk.first_of_runs(key[order, 0], key[order, 1]))
+    d = doc[order]
     hit = np.empty(len(d), bool)
-    hit[order] = (f & 2 > 0) & (d > _least(d, f & 1 > 0, begins, _NONE))
+    hit[order] = probe[order] & (d > _least(d, ref[order], begins, _NONE))
     return [(r[0], 2, r[1], _bits(hit[a:b]), None) for r, a, b in zip(rows, ends, ends[1:]) if hit[a:b].any()]
 
 
@@ -276,12 +287,17 @@ def _extend(method: Method, folder: str):
             for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = method.chunk(*_open(fs, path, name), True)
                 _, _, key, owner, probe, ref, _, sent = method.windows(c, _masks(found, 1))
-                key, docs = key[sent], (owner[sent] << 2 | probe[sent] << 1 | ref[sent]).astype("<u2")
-                bounds = np.searchsorted((key % np.uint64(method.parts)).astype(np.int64), np.arange(method.parts + 1))
-                table = zlib.compress(c.ids.astype("<i8").tobytes(), 1)
-                rows = [(name, p, table, key[bounds[p] : bounds[p + 1]].astype("<u8").tobytes(), docs[bounds[p] : bounds[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(bounds)).tolist()]
-                if rows:
-                    yield _batch(_ROWS, rows)
+                key, probe, ref = key[sent], probe[sent], ref[sent]
+                if not len(key):
+                    continue
+                docs = (c.ids - c.ids[0]).view(np.uint64).astype(_width(c.ids))[owner[sent]]
+                bounds = np.searchsorted((key[:, 0] % np.uint64(method.parts)).astype(np.int64), np.arange(method.parts + 1))
+                rows = []
+                for p in np.flatnonzero(np.diff(bounds)).tolist():
+                    own = slice(bounds[p], bounds[p + 1])
+                    rows.append((name, p, int(c.ids[0]), key[own].astype("<u8").tobytes(), docs[own].tobytes(), _bits(probe[own]) + _bits(ref[own])))
+                yield _batch(_ROWS, rows)
+        release()
 
     return run
 
@@ -295,7 +311,7 @@ def _remove(method: Method, folder: str):
                 c = method.chunk(ids, texts, True)
                 start, row, key, _, _, _, hit, sent = method.windows(c, _masks(found, 1))
                 sent = np.flatnonzero(sent)
-                bounds = np.searchsorted((key[sent] % np.uint64(method.parts)).astype(np.int64), np.arange(method.parts + 1))
+                bounds = np.searchsorted((key[sent, 0] % np.uint64(method.parts)).astype(np.int64), np.arange(method.parts + 1))
                 for part, (a, _) in _masks(found, 2).items():
                     rows = sent[bounds[part] : bounds[part + 1]]
                     hit[rows] |= np.unpackbits(np.frombuffer(a, np.uint8), count=len(rows)).astype(bool)
@@ -312,6 +328,7 @@ def _remove(method: Method, folder: str):
                     pa.array(ids, mask=ids == _NONE), pa.array(np.diff(c.first)), pa.array(removed.astype(np.int64)),
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string()),
                 ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        release()
 
     return run
 
@@ -322,8 +339,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and ``kept_text`` (the kept words joined by single spaces) for
     every row.  Windows are judged on the input.  A null, empty or blank text has no words.  Rows with one doc_id
     don't remove from each other, whatever their texts; a null doc_id counts as the greatest.  Other columns are ignored; an
-    empty table gives an empty result.  Windows are compared by 62-bit fingerprints.
+    empty table gives an empty result.  Windows are the same if two independent fingerprints of their words are, which
+    have 126 bits together.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     folder = f"{shared_dir(docs.sparkSession)}/chunks"
     fs, path = filesystem(folder)

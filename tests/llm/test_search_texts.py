@@ -63,6 +63,28 @@ def test_nulls_repeats_and_empty(spark):
     assert kept[1] == "y" and kept[0].startswith("x The quick")
 
 
+def test_windows_that_sums_of_powers_confuse(spark):
+    one, two = brute.thue_morse(10)
+    tail = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{one} {tail}", f"{two} {tail}", " ".join(brute.thue_morse(4)[0]), " ".join(brute.thue_morse(4)[1]), " ".join(brute.thue_morse(5)[0])]
+    assert result(sd.remove_repeats(brute.documents(spark, texts))) == repeats(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("spread", [1, 5000, 2**33, 2**56])
+def test_entries_don_t_grow_with_the_parts(spark, tmp_path, monkeypatch, spread):
+    texts = passages(5)
+    ids = [(i - 20) * spread for i in range(len(texts))]
+    df = brute.documents(spark, texts, ids).coalesce(1)
+    want, sizes = repeats(list(zip(ids, texts))), []
+    for parts in (1, 8, 64):
+        monkeypatch.setattr(sd, "parts_for", lambda *a, n=parts: n)
+        assert result(sd.remove_repeats(df)) == want
+        (tmp_path / f"{parts}").mkdir()
+        rows = df.select("doc_id", "text").mapInArrow(sd._scan(sd.Method(13, parts), str(tmp_path / f"{parts}")), sd._ROWS).where("part >= 0").collect()
+        sizes.append(sum(len(r["docs"]) for r in rows))
+    assert len(set(sizes)) == 1
+
+
 def test_packing():
     import numpy as np
 
