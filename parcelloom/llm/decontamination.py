@@ -1,9 +1,12 @@
 """Benchmark decontamination with DataFrame operations only.
 
-The benchmark's windows of normalised words are a broadcast hash table keyed by one word of each window,
-its longest (the likeliest to be rare).  A scan of the documents splits each text into words once, looks
-every word up, and compares the whole window around a word that is found, word for word.  Only verified
-windows leave the scan, so what is shuffled are hits and one narrow row for each document.
+The benchmark's windows of normalised words are a broadcast hash set keyed by a hash of the whole window.  A scan of
+the documents splits each text into words once, hashes every word once and every window of word hashes, looks
+the windows up, and compares a window that is found word for word.  Only verified windows leave the scan, so
+what is shuffled are hits and one narrow row for each document.
+
+A set that is too large to broadcast is met in a shuffle by the windows' hashes alone, without any text; what
+meets is carried back to its documents and compared there.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from parcelloom.llm.shared import numbered, restored, written
 BROADCAST_BYTES = 64 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # between words that are not yet lower-cased
+#: In place of a window's hash, for a document's own row.  A window with this hash is told apart by its length.
+_NO_WINDOW = -1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,7 +35,7 @@ def _number(words: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows ``anchor`` (hash of the longest word), ``off`` (its place), ``len``, ``win`` and ``items``.
+    """Distinct windows: ``h`` (hash of the words' hashes), ``len``, ``win`` (the words) and ``items``.
 
     An item of fewer than ``n`` words, but not none, is one window.  A null item_id counts as an empty one.
     """
@@ -38,25 +43,59 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13, item_id: str = "item_id
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     wins = items.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(n)))).alias("win"))
     wins = wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    longest = F.array_max(F.transform("win", lambda x, i: F.struct(F.length(x).alias("a"), F.xxhash64(x).alias("b"), (-i).alias("c"))))
-    wins = wins.withColumn("m", longest)
-    return wins.select(F.col("m.b").alias("anchor"), (-F.col("m.c")).alias("off"), F.size("win").alias("len"), "win", "items")
+    return wins.select(F.xxhash64(F.transform("win", lambda x: F.xxhash64(x))).alias("h"), F.size("win").alias("len"), "win", "items")
+
+
+def _scanned(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``_id, _text, w, n_words`` and ``hs``: the hash of no window, and those of all windows of these lengths in turn."""
+    split = docs.select("_id", F.xxhash64(F.coalesce("_t", F.lit(""))).alias("_text"), _words(F.col("_t")).alias("w")).select("*", _number("w").alias("n_words"))
+    none = F.array().cast("array<bigint>")
+
+    def of(each: Column, length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.col("n_words").cast("int") - (length - 1))
+        # the first of w is no word
+        return F.when(F.col("n_words") >= length, F.transform(starts, lambda s: F.xxhash64(F.slice(each, s + 1, F.lit(length))))).otherwise(none)
+
+    # the words' hashes are a lambda's argument, so that they are computed once and not for each window
+    hashes = F.transform(F.array(F.transform("w", lambda x: F.xxhash64(x))), lambda each: F.concat(F.array(F.lit(_NO_WINDOW).cast("long")), *(of(each, n) for n in lengths)))
+    return split.select("_id", "_text", "w", "n_words", F.element_at(hashes, 1).alias("hs"))
+
+
+def _place(lengths: list[int]) -> tuple[Column, Column]:
+    """The first word (from 1) and the length of the window at a place of ``hs``; 0 and 0 of no window."""
+    at, size, before = F.lit(0), F.lit(0), F.lit(0)
+    for length in lengths:
+        here = F.col("pos") > before
+        at, size = F.when(here, F.col("pos") - before).otherwise(at), F.when(here, F.lit(length)).otherwise(size)
+        before = before + F.greatest(F.col("n_words").cast("int") - (length - 1), F.lit(0))
+    return at.cast("int"), size
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     """A row for each distinct ``_id`` and text: ``_id, _text`` (its hash), ``rows, n_words, spans`` (word from 1, length) and ``items``."""
     windows = written(benchmark_windows(benchmark, n), "windows")
-    size = windows.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 48 + 16 * F.size("items")).alias("n")).first()["n"] or 0
-    # every text begins with an empty word, which leads to the one row that each document gives
-    each = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
-    table = windows.unionByName(each)
-    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
-    split = docs.select("_id", F.xxhash64(F.coalesce("_t", F.lit(""))).alias("_text"), _words(F.col("_t")).alias("w"))
-    words = split.select("_id", "_text", "w", F.posexplode_outer("w").alias("pos", "word")).withColumn("h", F.xxhash64("word"))
-    start = F.col("pos") - F.col("off")
-    same = (F.col("len") == 0) & (F.col("pos") == 0) | (F.col("len") > 0) & (start >= 1) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("len")) == F.col("win"))
-    found = words.join(table, (F.col("h") == F.col("anchor")) & same)
-    found = found.select("_id", "_text", F.when(F.col("len") == 0, _number("w")).alias("n_words"), F.when(F.col("len") > 0, F.struct(start.alias("at"), "len")).alias("span"), F.when(F.col("len") > 0, F.col("items")).alias("items"))
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # n of them at most
+    size = windows.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 64 + 16 * F.size("items") + 16 * F.col("len")).alias("n")).first()["n"] or 0
+    at, length = _place(lengths)
+    scanned = _scanned(docs, lengths)
+    if size <= BROADCAST_BYTES:
+        # the hash of no window leads to the one row that each document gives
+        each = docs.sparkSession.range(1).select(F.lit(_NO_WINDOW).cast("long").alias("h"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+        table = F.broadcast(windows.unionByName(each).withColumnRenamed("len", "_len"))
+        found = scanned.select("_id", "_text", "w", "n_words", F.posexplode("hs").alias("pos", "h")).join(table, "h").withColumn("at", at).withColumn("len", length)
+        found = found.where((F.col("_len") == F.col("len")) & (F.slice("w", F.col("at") + 1, F.col("len")) == F.col("win")))
+        word = F.when(F.col("len") == 0, F.col("n_words"))
+    else:
+        # windows by their hashes only; of documents where one is found the words are compared afterwards
+        met = scanned.select("_id", "_text", "n_words", F.posexplode("hs").alias("pos", "h")).where("pos > 0").select("_id", "_text", at.alias("at"), length.alias("len"), "h")
+        met = written(met.join(windows.select("h", "len", "win", "items").hint("shuffle_hash"), ["h", "len"]).select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "at", "len", "win", "items"), "met")
+        met = met.groupBy("_i", "_x").agg(F.collect_set(F.struct("at", "len", "win", "items")).alias("places"))
+        back = scanned.drop("hs").join(met.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
+        true = F.filter("places", lambda p: F.slice("w", p["at"] + 1, p["len"]) == p["win"])
+        here = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))), F.transform(F.coalesce(true, F.array()), lambda p: F.struct(p["at"].alias("at"), p["len"].alias("len"), p["items"].alias("items"))))
+        found = back.select("_id", "_text", "n_words", F.inline(here))
+        word = F.when(F.col("len") == 0, F.col("n_words"))
+    found = found.select("_id", "_text", word.alias("n_words"), F.when(F.col("len") > 0, F.struct("at", "len")).alias("span"), F.when(F.col("len") > 0, F.col("items")).alias("items"))
     return found.groupBy("_id", "_text").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("rows"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from parcelloom.llm import decontamination as dc
 from tests.llm import brute
 
@@ -67,6 +69,10 @@ def test_removal_leaves_no_window_and_clean_rows_alone(spark):
     assert left[1].startswith("Before it") and left[1].count("word") == 400
 
 
-def test_no_python_in_the_plan(spark):
-    plan = dc.contamination(brute.documents(spark), bench(spark))._jdf.queryExecution().toString()
-    assert "Python" not in plan.split("LogicalRDD")[0] and "MapInArrow" not in plan
+@pytest.mark.parametrize("most", [dc.BROADCAST_BYTES, -1])
+def test_no_python_in_the_plan(spark, monkeypatch, most):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", most)
+    plan = dc.contamination(brute.documents(spark, TEXTS[:4]), bench(spark))._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (most > 0)
+    for name in ("Python", "MapInArrow", "ArrowEval", "CartesianProduct", "NestedLoop"):
+        assert name not in plan
