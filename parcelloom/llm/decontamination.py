@@ -53,8 +53,8 @@ def _scanned(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
     def of(each: Column, length: int) -> Column:
         starts = F.sequence(F.lit(1), F.col("n_words").cast("int") - (length - 1))
-        # the first of w is no word
-        return F.when(F.col("n_words") >= length, F.transform(starts, lambda s: F.xxhash64(F.slice(each, s + 1, F.lit(length))))).otherwise(none)
+        # the first of w is no word; a slice of an array would be made by going over all of it
+        return F.when(F.col("n_words") >= length, F.transform(starts, lambda s: F.xxhash64(*(F.get(each, s + k) for k in range(length))))).otherwise(none)
 
     # the words' hashes are a lambda's argument, so that they are computed once and not for each window
     hashes = F.transform(F.array(F.transform("w", lambda x: F.xxhash64(x))), lambda each: F.concat(F.array(F.lit(_NO_WINDOW).cast("long")), *(of(each, n) for n in lengths)))
@@ -81,20 +81,20 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     if size <= BROADCAST_BYTES:
         # the hash of no window leads to the one row that each document gives
         each = docs.sparkSession.range(1).select(F.lit(_NO_WINDOW).cast("long").alias("h"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+        # outer, so that no filter on the windows is inferred and computed a second time before them
         table = F.broadcast(windows.unionByName(each).withColumnRenamed("len", "_len"))
-        found = scanned.select("_id", "_text", "w", "n_words", F.posexplode("hs").alias("pos", "h")).join(table, "h").withColumn("at", at).withColumn("len", length)
+        found = scanned.select("_id", "_text", "w", "n_words", F.posexplode_outer("hs").alias("pos", "h")).join(table, "h").withColumn("at", at).withColumn("len", length)
         found = found.where((F.col("_len") == F.col("len")) & (F.slice("w", F.col("at") + 1, F.col("len")) == F.col("win")))
-        word = F.when(F.col("len") == 0, F.col("n_words"))
     else:
         # windows by their hashes only; of documents where one is found the words are compared afterwards
-        met = scanned.select("_id", "_text", "n_words", F.posexplode("hs").alias("pos", "h")).where("pos > 0").select("_id", "_text", at.alias("at"), length.alias("len"), "h")
+        met = scanned.select("_id", "_text", "n_words", F.posexplode_outer("hs").alias("pos", "h")).where("pos > 0").select("_id", "_text", at.alias("at"), length.alias("len"), "h")
         met = written(met.join(windows.select("h", "len", "win", "items").hint("shuffle_hash"), ["h", "len"]).select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "at", "len", "win", "items"), "met")
         met = met.groupBy("_i", "_x").agg(F.collect_set(F.struct("at", "len", "win", "items")).alias("places"))
         back = scanned.drop("hs").join(met.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
-        true = F.filter("places", lambda p: F.slice("w", p["at"] + 1, p["len"]) == p["win"])
-        here = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))), F.transform(F.coalesce(true, F.array()), lambda p: F.struct(p["at"].alias("at"), p["len"].alias("len"), p["items"].alias("items"))))
-        found = back.select("_id", "_text", "n_words", F.inline(here))
-        word = F.when(F.col("len") == 0, F.col("n_words"))
+        own = F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+        found = back.select("_id", "_text", "w", "n_words", F.inline_outer(F.concat(F.array(own), F.coalesce("places", F.array()))))
+        found = found.where((F.col("len") == 0) | (F.slice("w", F.col("at") + 1, F.col("len")) == F.col("win")))
+    word = F.when(F.col("len") == 0, F.col("n_words"))
     found = found.select("_id", "_text", word.alias("n_words"), F.when(F.col("len") > 0, F.struct("at", "len")).alias("span"), F.when(F.col("len") > 0, F.col("items")).alias("items"))
     return found.groupBy("_id", "_text").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("rows"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
