@@ -25,6 +25,11 @@ def totals(units: DataFrame, plan: DataFrame, series: list[str], n: int, unassig
     return every.join(sums, ["chain", "district"], "left").na.fill(0, series)
 
 
+def min_weight(sums: DataFrame, series: str) -> DataFrame:
+    """``chain, district``: the district with the smallest total of a series; the first of equal ones."""
+    return sums.groupBy("chain").agg(F.min_by("district", F.struct(series, "district")).alias("district"))
+
+
 def cross_edges(edges: DataFrame, plan: DataFrame) -> DataFrame:
     """``chain, src, dst, w, p, q``: the edges between different districts ``p`` and ``q``."""
     p = plan.select("chain", F.col("idx").alias("src"), F.col("district").alias("p"))
@@ -100,6 +105,19 @@ def moved(plan: DataFrame, idx: list[int], district: int) -> DataFrame:
     return plan.withColumn("district", F.when(F.col("idx").isin(idx), F.lit(district)).otherwise(F.col("district")))
 
 
+def movable(edges: DataFrame, plan: DataFrame, idx: list[int], district: int) -> DataFrame:
+    """``chain, one_part, contiguous, allowed``: may these units move to a district together?
+
+    They must be of one district, and neither what they leave nor the district that they join may be in pieces.
+    """
+    source = plan.where(F.col("idx").isin(idx)).groupBy("chain").agg(F.min("district").alias("p"), F.count_distinct("district").alias("parts"))
+    after = moved(plan, idx, district)
+    pieces = components(edges, after).join(source, "chain").where((F.col("district") > 0) & ((F.col("district") == F.col("p")) | (F.col("district") == district)))
+    broken = pieces.groupBy("chain", "district").agg(F.count_distinct("component").alias("n")).where("n > 1").select("chain").distinct().withColumn("_broken", F.lit(True))
+    out = source.join(broken, "chain", "left").select("chain", (F.col("parts") == 1).alias("one_part"), F.col("_broken").isNull().alias("contiguous"))
+    return out.withColumn("allowed", F.col("one_part") & F.col("contiguous"))
+
+
 def merged(plan: DataFrame, matrix: DataFrame, a: int, b: int) -> DataFrame:
     """The plan with the smaller of two bordering districts in the larger (ties: into the first), where they border."""
     size = plan.where(F.col("district").isin(a, b)).groupBy("chain").agg(F.count_if(F.col("district") == a).alias("na"), F.count_if(F.col("district") == b).alias("nb"))

@@ -6,6 +6,8 @@ neighbour: both have the same pair of vertex keys, so one shuffle by that pair f
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def queen_edges(segs: DataFrame) -> DataFrame:
     return at.alias("l").join(at.alias("r"), F.col("l.ka") == F.col("r.ka")).where("l.idx <> r.idx").select(F.col("l.idx").alias("src"), F.col("r.idx").alias("dst")).distinct()
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """``idx, degree`` of every unit with a neighbour."""
+    return edges.groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("degree"))
+
+
 def forced_adjacency(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``edges(src, dst, w)`` with the pairs ``a, b`` both ways, at weight 0 where they weren't edges."""
     there = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -148,6 +155,21 @@ def subset_perimeter(segs: DataFrame, members: DataFrame, keys: list[str]) -> Da
     return inside.join(other, [*keys, "twin_idx"], "left_anti").groupBy(*keys).agg(F.sum("len_m").alias("perimeter"))
 
 
+def subset_geometry(unit_geom: DataFrame, segs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, area, ext_len, minx, miny, maxx, maxy, perimeter, compactness)`` of the sets ``members(*keys, idx)``."""
+    sums = unit_geom.join(members, "idx").groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("area", "ext_len")), *(F.min(c).alias(c) for c in ("minx", "miny")), *(F.max(c).alias(c) for c in ("maxx", "maxy")))
+    out = sums.join(subset_perimeter(segs, members, keys), keys)
+    return out.withColumn("compactness", F.when(F.col("perimeter") > 0, F.col("area") * (4 * math.pi) / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0))
+
+
+def common_segments(segs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """``p, q, ka, kb, len_m``: the segments that the outlines of two sets ``members(key, idx)`` have in common, each from ``p`` to ``q > p``."""
+    (key,) = keys
+    p = members.select(F.col("idx"), F.col(key).alias("p"))
+    q = members.select(F.col("idx").alias("twin_idx"), F.col(key).alias("q"))
+    return segs.where("twin_idx is not null").join(p, "idx").join(q, "twin_idx").where("p < q").select("p", "q", "idx", "twin_idx", "ka", "kb", "len_m")
+
+
 def boundary_segments(segs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """The segments between a set and what is not in it, with the set's keys."""
     other = members.select(*keys, F.col("idx").alias("twin_idx"))

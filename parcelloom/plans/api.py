@@ -92,8 +92,12 @@ class Map:
         view = render.Viewport.fit(*b, width, margin)
         return view, (b[3] - b[1]) * view.scale + 2 * margin
 
-    def to_geojson(self, series: tuple[str, ...] = ()) -> str:
-        return render.feature_collection(render.features(self.units(), self.layers[self.base]["geoms"], None, series))
+    def to_geojson(self, series: tuple[str, ...] = (), bounds: tuple[float, float, float, float] | None = None) -> str:
+        """All units, or those whose box meets ``bounds`` (west, south, east, north)."""
+        units = self.units()
+        if bounds:
+            units = units.join(topology.in_envelope(self.geometry(), *bounds).select("idx"), "idx", "left_semi")
+        return render.feature_collection(render.features(units, self.layers[self.base]["geoms"], None, series))
 
     def graph(self, series: list[str]) -> search.Graph:
         return search.Graph.collect(self.units(), self.edges(), self.outer(), series)
@@ -115,6 +119,20 @@ class Plan:
         """``chain, geo_id, district`` of every unit."""
         return districts.attach(self.map.units().select("idx", "geo_id"), self.rows).select("chain", "geo_id", "district")
 
+    def load_csv(self, path: str, strict: bool = False) -> "Plan":
+        """From a file of ``geo_id, district``; units without a row are unassigned, or an error with ``strict``."""
+        return self.with_rows(tables.read_plan(self.map.spark, path, self.map.units(), strict=strict))
+
+    def dense(self) -> DataFrame:
+        """``chain, districts``: the district of each unit in the order of ``idx``."""
+        return search.starts(self.rows)
+
+    def set_dense(self, districts: list[int]) -> "Plan":
+        """From the district of each unit in the order of ``idx``."""
+        if len(districts) != (n := self.map.units().count()) or not all(0 <= d <= self.n for d in districts):
+            raise ValueError(f"{n} districts from 0 to {self.n} are needed")
+        return self.with_rows(self.map.spark.createDataFrame([(0, i, d) for i, d in enumerate(districts)], "chain int, idx int, district int"))
+
     def set_assignments(self, rows: DataFrame) -> "Plan":
         """From ``geo_id, district``; units without a row are unassigned."""
         return self.with_rows(tables.plan_of_rows(rows, self.map.units()))
@@ -167,30 +185,38 @@ class Plan:
 
     # ---- search ----
 
-    def _search(self, series: list[str], run, seed: int, chains: int, fresh: bool = False) -> tuple["Plan", DataFrame]:
-        first = None
-        if not fresh:
-            chosen = self.rows.agg(F.min("chain")).first()[0]
-            first = [r["district"] for r in self.rows.where(F.col("chain") == chosen).orderBy("idx").select("district").toLocalIterator()]
-        found = table(search.ensemble(self.map.spark, self.map.graph(series), self.n, chains, seed, run, first), "chains")
+    def _search(self, series: list[str], run, seed: int, chains: int | None, fresh: bool = False) -> tuple["Plan", DataFrame]:
+        """Chain k goes on from chain k; ``chains`` says otherwise how many there are, and takes the plan's in turn."""
+        first = None if fresh else search.starts(self.rows, chains)
+        found = table(search.ensemble(self.map.spark, self.map.graph(series), self.n, chains or 1, seed, run, first), "chains")
         return self.with_rows(search.plans_of(found)), search.trace_of(found)
 
     def randomize(self, seed: int = 0, chains: int = 1) -> "Plan":
         return self._search([], lambda c: None, seed, chains, fresh=True)[0]
 
-    def equalize(self, series: str, tolerance: float, max_iter: int, seed: int = 0, chains: int = 1) -> "Plan":
+    def equalize(self, series: str, tolerance: float, max_iter: int, seed: int = 0, chains: int | None = None) -> "Plan":
         return self._search([series], lambda c: c.equalize(series, tolerance, max_iter) and None, seed, chains)[0]
 
-    def recombine(self, a: int, b: int, series: str = "T_20_CENS_Total", seed: int = 0, chains: int = 1) -> "Plan":
+    def equalize_step(self, series: str, tolerance: float, seed: int = 0, chains: int | None = None) -> "Plan":
+        """One round of ``equalize``."""
+        return self.equalize(series, tolerance, 1, seed, chains)
+
+    def within(self, series: str, tolerance: float) -> DataFrame:
+        """``chain, met``: whether every district's total is that near the mean, as a share of it."""
+        t = self.district_totals(series)
+        mean = F.sum(series) / self.n
+        return t.groupBy("chain").agg((F.greatest(F.max(series) - mean, mean - F.min(series)) <= tolerance * mean).alias("met"))
+
+    def recombine(self, a: int, b: int, series: str = "T_20_CENS_Total", seed: int = 0, chains: int | None = None) -> "Plan":
         return self._search([series], lambda c: c.recombine(a, b, series) and None, seed, chains)[0]
 
-    def anneal_balance(self, series: str, iterations: int, hot: float, cold: float, boundary: float, seed: int = 0, chains: int = 1) -> "Plan":
+    def anneal_balance(self, series: str, iterations: int, hot: float, cold: float, boundary: float, seed: int = 0, chains: int | None = None) -> "Plan":
         return self._search([series], lambda c: c.anneal_balance(series, iterations, hot, cold, boundary), seed, chains)[0]
 
-    def tabu_balance(self, series: str, iterations: int, tenure: int, boundary: float, candidates: int, seed: int = 0, chains: int = 1) -> "Plan":
+    def tabu_balance(self, series: str, iterations: int, tenure: int, boundary: float, candidates: int, seed: int = 0, chains: int | None = None) -> "Plan":
         return self._search([series], lambda c: c.tabu_balance(series, iterations, tenure, boundary, candidates), seed, chains)[0]
 
-    def anneal(self, phases: list[search.Phase], options: search.AnnealOptions, seed: int = 0, chains: int = 1) -> tuple["Plan", DataFrame]:
+    def anneal(self, phases: list[search.Phase], options: search.AnnealOptions, seed: int = 0, chains: int | None = None) -> tuple["Plan", DataFrame]:
         series = sorted({s for p in phases for m in p.objective.metrics for s in m.series})
         return self._search(series, lambda c: search.anneal(c, phases, options), seed, chains)
 

@@ -18,11 +18,12 @@ LON0, LAT0, SIDE = -90.0, 40.0, 0.01
 
 @dataclass
 class GridMap:
-    """Tables of a map at one level: units, polygons and the grid's width."""
+    """Tables of a map at one level: units, polygons and the grid's width; and the folder that it is from."""
 
     units: DataFrame
     geoms: DataFrame
     width: int
+    folder: str = ""
 
     def segments(self) -> DataFrame:
         return segments(self.geoms)
@@ -43,7 +44,7 @@ def grid_map(spark: SparkSession, sf_dir: str) -> GridMap:
     for level in ("state", "county", "tract", "group"):
         u = u.withColumn(f"parent_{level}", parent(F.col("geo_id"), level))
     u = u.select("idx", "geo_id", F.col("c_name").alias("name"), "gx", "gy", (F.col("gx") * SIDE + (LON0 + SIDE / 2)).alias("centroid_lon"), (F.col("gy") * SIDE + (LAT0 + SIDE / 2)).alias("centroid_lat"), "n_nationkey", "n_regionkey", "c_custkey", "pop", "dem", "rep", F.col("c_acctbal").alias("acctbal"), "parent_state", "parent_county", "parent_tract", "parent_group", "parent_vtd")
-    return GridMap(u, u.select("idx", cell(F.col("gx"), F.col("gy")).alias("geom")), width)
+    return GridMap(u, u.select("idx", cell(F.col("gx"), F.col("gy")).alias("geom")), width, sf_dir)
 
 
 def cell(gx: Column, gy: Column) -> Column:

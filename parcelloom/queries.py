@@ -157,7 +157,7 @@ def queen_edges(g):
 
 @query("SELECT src AS idx, count(*) AS degree FROM e GROUP BY 1")
 def degrees(g):
-    return topology.rook_edges(g.segments()).groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("degree"))
+    return topology.degrees(topology.rook_edges(g.segments()))
 
 
 @query("SELECT src, dst, CAST(row_number() OVER (ORDER BY src, dst) - 1 AS INTEGER) AS edge_id FROM e")
@@ -234,13 +234,8 @@ def units_in_envelope(g):
     return topology.in_envelope(Derived.of(g).geom, -89.985, 40.015, -89.925, 40.035).select("idx")
 
 
-@query("SELECT idx AS pid, CAST(CASE WHEN idx % 4 = 0 THEN -1 ELSE idx END AS INTEGER) AS idx FROM u WHERE idx % 3 = 0")
-def unit_at(g):
-    return _units_at(g, g.units.where("idx % 3 = 0"))
-
-
 @query("SELECT idx AS pid, CAST(CASE WHEN idx % 4 = 0 THEN -1 ELSE idx END AS INTEGER) AS idx FROM u")
-def unit_at_all(g):
+def unit_at(g):
     return _units_at(g, g.units)
 
 
@@ -284,7 +279,8 @@ def all_part_totals(g):
 
 @query("SELECT CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(dem) AS BIGINT) AS dem FROM u")
 def region_totals(g):
-    return g.units.agg(F.sum("pop").alias("pop"), F.sum("dem").alias("dem"))
+    # the rows of the state level
+    return rollup.roll_up(g.units.select("pop", "dem", "parent_state")).where("layer = 'state'").agg(F.sum("pop").alias("pop"), F.sum("dem").alias("dem"))
 
 
 @query("SELECT p, q, round(perimeter, 2) AS perimeter FROM pm", "holes")
@@ -318,8 +314,7 @@ def neighbor_parts(g):
 
 @query("SELECT arg_min(district, (pop, district)) AS district FROM dt WHERE district > 0")
 def min_weight_part(g):
-    t = districts.totals(g.units, _plan(g), ["pop"], 25)
-    return t.agg(F.min_by("district", F.struct("pop", "district")).alias("district"))
+    return districts.min_weight(districts.totals(g.units, _plan(g), ["pop"], 25), "pop").drop("chain")
 
 
 _CC = """, start AS (SELECT idx AS node, idx AS seen FROM u),
@@ -536,12 +531,162 @@ def county_splits(g):
     return splits(g.units, _plan(g, "stripe")).drop("chain")
 
 
-@query("SELECT lo, hi FROM (SELECT least(idx, twin_idx) AS lo, greatest(idx, twin_idx) AS hi, n_nationkey FROM s JOIN u USING (idx) WHERE n_nationkey IN (3, 4) AND twin_idx IS NOT NULL) GROUP BY lo, hi HAVING count(DISTINCT n_nationkey) = 2")
+@query("SELECT least(a.n_nationkey, b.n_nationkey) AS p, greatest(a.n_nationkey, b.n_nationkey) AS q, count(*) AS segments, round(sum(len_m), 2) AS length FROM s JOIN u a USING (idx) JOIN u b ON twin_idx = b.idx WHERE a.n_nationkey < b.n_nationkey GROUP BY 1, 2")
 def common_segments(g):
-    # segments that the outlines of two districts have in common
-    segs = g.segments().where("twin_idx is not null").join(g.units.select("idx", "n_nationkey"), "idx")
-    key = [F.least("idx", "twin_idx").alias("lo"), F.greatest("idx", "twin_idx").alias("hi")]
-    return segs.where("n_nationkey = 3").select(*key).intersect(segs.where("n_nationkey = 4").select(*key))
+    found = topology.common_segments(g.segments(), g.units.select("idx", "n_nationkey"), ["n_nationkey"])
+    return found.groupBy("p", "q").agg(F.count("*").alias("segments"), F.round(F.sum("len_m"), 2).alias("length"))
+
+
+_SUBSET = f"""SELECT n_nationkey, round(sum(area_km2), 2) AS area_km2, round(sum(ug.ext_len), 2) AS ext_len, round(min(-90 + 0.01::DOUBLE * gx), 6) AS minx, round(max(40 + 0.01::DOUBLE * (gy + 1)), 6) AS maxy
+  FROM u JOIN ({_GEOM.replace("round(abs", "(abs").replace("/ 1000000, 3)", "/ 1000000)")}) g USING (idx) JOIN ug USING (idx) GROUP BY 1"""
+
+
+@query(_SUBSET)
+def subset_geometry(g):
+    d = Derived.of(g)
+    found = topology.subset_geometry(d.geom, d.segs, g.units.select("idx", "n_nationkey"), ["n_nationkey"])
+    return found.select("n_nationkey", F.round(F.col("area") / 1000000, 2).alias("area_km2"), F.round("ext_len", 2).alias("ext_len"), F.round("minx", 6).alias("minx"), F.round("maxy", 6).alias("maxy"))
+
+
+_BROKEN = """SELECT * FROM (SELECT 'one-way edge' AS rule, count(*) AS n FROM e WHERE dst % 10 = 0 AND dst < src
+UNION ALL SELECT 'overlap', 4 * count(*) FROM u WHERE idx % 20 = 0 UNION ALL SELECT 'negative area', count(*) FROM u WHERE idx % 30 = 0 UNION ALL SELECT 'loop', count(*) FROM u WHERE idx % 25 = 0)"""
+
+
+@query(_BROKEN)
+def validate_broken_region(g):
+    d = Derived.of(g)
+    edges = d.edges.where("not (src % 10 = 0 and src < dst)").unionByName(g.units.where("idx % 25 = 0").select(F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(0.0).alias("w")))
+    return topology.validate(d.segs.unionByName(d.segs.where("idx % 20 = 0")), edges, d.geom.withColumn("area", F.when(F.col("idx") % 30 == 0, -1.0).otherwise(F.col("area"))))
+
+
+@query("SELECT CAST(0 AS INTEGER) AS chain, true AS one_part, (SELECT count(*) FROM u) > 0 AS contiguous, true AS allowed")
+def move_allowed(g):
+    # the last unit of the snake is at an end of its district
+    last = g.units.agg(F.max("idx")).first()[0]
+    return districts.movable(topology.rook_edges(g.segments()), _plan(g), [last], 25)
+
+
+# ---- files, written to the shared folder and read back ----
+
+
+def _folder(g: GridMap, name: str) -> str:
+    from parcelloom.storage import shared_folder
+
+    return f"{shared_folder(g.units.sparkSession)}/{name}"
+
+
+_BASE = "SELECT idx, geo_id, name, pop, parent_county FROM u"
+
+
+def _base(g: GridMap) -> DataFrame:
+    return g.units.select("idx", "geo_id", "name", "pop", "parent_county")
+
+
+@query(_BASE)
+def csv_round_trip(g):
+    from parcelloom.sources.tables import read_csv
+
+    path = _folder(g, "units.csv")
+    _base(g).write.option("header", True).csv(path)
+    return read_csv(g.units.sparkSession, path, "idx int, geo_id string, name string, pop long, parent_county string")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS key, n_name AS name FROM nation", plain=True)
+def csv_text(g):
+    from parcelloom.sources.tables import read_csv_text
+
+    spark = g.units.sparkSession
+    names = g.units.select("n_nationkey").distinct().count()
+    rows = sorted((r["n_nationkey"], r["n_name"]) for r in spark.read.parquet(f"{g.folder}/nation.parquet").collect())
+    assert names <= len(rows)
+    return read_csv_text(spark, "key,name\n" + "".join(f"{k},{n}\n" for k, n in rows), "key int, name string")
+
+
+@query("SELECT CAST(idx AS VARCHAR) AS idx, geo_id, name, CAST(pop AS VARCHAR) AS pop, parent_county FROM u")
+def pipe_round_trip(g):
+    from parcelloom.sources.tables import read_pipe
+
+    path = _folder(g, "units.txt")
+    _base(g).write.option("header", True).option("sep", "|").csv(path)
+    return read_pipe(g.units.sparkSession, path)
+
+
+@query("SELECT idx, district FROM p", "holes")
+def plan_csv_round_trip(g):
+    from parcelloom.sources.tables import read_plan, write_plan
+
+    path = _folder(g, "plan.csv")
+    write_plan(g.units, _plan(g, "holes"), path)
+    return read_plan(g.units.sparkSession, path, g.units).drop("chain")
+
+
+def _pack(g: GridMap, fmt: str) -> tuple[str, dict]:
+    from parcelloom.sources.tables import write_pack
+
+    path = _folder(g, "map")
+    sums = rollup.roll_up(g.units.select("pop", "dem", "rep", "parent_state"))
+    states = rollup.row_index(sums.where("layer = 'state'").drop("layer").withColumn("_k", F.lit(0)), "_k", ["geo_id"]).drop("_k")
+    blocks = g.units.select("idx", "geo_id", "name", "pop", "parent_state", "parent_county")
+    return path, write_pack(g.units.sparkSession, {"state": {"units": states}, "block": {"units": blocks, "geoms": g.geoms, "edges": topology.rook_edges(g.segments())}}, path, fmt)
+
+
+_PACK = "SELECT 'block' AS level, idx, geo_id, pop FROM u UNION ALL SELECT 'state', CAST(row_number() OVER (ORDER BY parent_state) - 1 AS INTEGER), parent_state, CAST(sum(pop) AS BIGINT) FROM u GROUP BY parent_state"
+
+
+def _unpacked(g: GridMap, fmt: str) -> DataFrame:
+    from parcelloom.sources.tables import read_pack
+
+    layers = read_pack(g.units.sparkSession, _pack(g, fmt)[0])
+    one = lambda x: layers[x]["units"].select(F.lit(x).alias("level"), F.col("idx").cast("int").alias("idx"), "geo_id", F.col("pop").cast("long").alias("pop"))
+    return one("block").unionByName(one("state"))
+
+
+@query(_PACK)
+def pack_parquet(g):
+    return _unpacked(g, "parquet")
+
+
+@query(_PACK)
+def pack_csv(g):
+    return _unpacked(g, "csv")
+
+
+@query("SELECT 'block' AS level, count(*) AS n, true AS hashed, true AS valid FROM u UNION ALL SELECT 'state', count(DISTINCT parent_state), true, true FROM u")
+def pack_manifest(g):
+    from parcelloom.sources.tables import exists, read_manifest, validate_pack
+
+    spark = g.units.sparkSession
+    path, _ = _pack(g, "parquet")
+    manifest = read_manifest(spark, path)
+    valid = not validate_pack(spark, path) and exists(spark, f"{path}/manifest.json")
+    hashed = all(len(x["sha256"]) == 64 for x in manifest["files"].values())
+    return spark.createDataFrame([(k, n, hashed, valid) for k, n in manifest["counts"].items()], "level string, n long, hashed boolean, valid boolean")
+
+
+_CORNERS = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) t(pos, dx, dy)"
+_POINTS = f"SELECT idx, CAST(pos AS INTEGER) AS pos, round(-90 + 0.01::DOUBLE * (gx + dx), 6) AS x, round(40 + 0.01::DOUBLE * (gy + dy), 6) AS y FROM u CROSS JOIN {_CORNERS}"
+
+
+@query(_POINTS)
+def wkb_round_trip(g):
+    from parcelloom.sources.wkb import parsed, wkb_column
+
+    raw = g.geoms.select("idx", wkb_column(F.col("geom")).alias("wkb"))
+    back = raw.mapInArrow(parsed("wkb"), g.geoms.schema)
+    return back.select("idx", F.posexplode(F.col("geom")[0][0]).alias("pos", "p")).select("idx", "pos", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+_FEATURE = f"SELECT idx, geo_id, name, CAST(pop AS VARCHAR) AS pop, CAST(district AS VARCHAR) AS district, CASE WHEN district > 0 THEN 'hsl(' || CAST(district * 57 % 360 AS VARCHAR) || ' 70% 50%)' END AS color, 'MultiPolygon' AS kind, round(-90 + 0.01::DOUBLE * gx, 6) AS x, round(40 + 0.01::DOUBLE * gy, 6) AS y FROM u JOIN p USING (idx)"
+
+
+@query(_FEATURE, "holes")
+def geojson_features(g):
+    from parcelloom.sources.render import features
+
+    found = features(g.units, g.geoms, _plan(g, "holes"), ("pop",))
+    get = lambda path: F.get_json_object("feature", path)
+    corner = lambda n: F.round(get(f"$.geometry.coordinates[0][0][0][{n}]").cast("double"), 6)
+    return found.select("idx", *(get(f"$.properties.{x}").alias(x) for x in ("geo_id", "name", "pop", "district")), get("$.properties.district_color").alias("color"), get("$.geometry.type").alias("kind"), corner(0).alias("x"), corner(1).alias("y"))
 
 
 # ---- outlines: areas of traced rings in square degrees, which add up cell by cell ----
@@ -628,7 +773,11 @@ def vector_tiles(g):
 # ---- searches: chains are random, so what must hold of any plan is returned ----
 
 
-def _searched(g: GridMap, n: int, search) -> DataFrame:
+#: What holds of any search on this map, whatever it draws: each chain keeps all units, and each district is in one piece.
+_ANY = "SELECT CAST(c AS INTEGER) AS chain, CAST(6 AS BIGINT) AS districts, (SELECT count(*) FROM u) AS units, (SELECT CAST(sum(pop) AS BIGINT) FROM u) AS pop, true AS contiguous, true AS none_empty FROM range(0, 4) t(c)"
+
+
+def searched(g: GridMap, n: int, search) -> DataFrame:
     """``chain, district, units, pop, components`` of four chains from random plans."""
     from parcelloom.operators import search as s
     from parcelloom.storage import table
@@ -642,32 +791,37 @@ def _searched(g: GridMap, n: int, search) -> DataFrame:
     return sums.join(districts.contiguity(d.edges, plan, n).select("chain", "district", "components"), ["chain", "district"])
 
 
-@query()
+def _searched(g: GridMap, n: int, search) -> DataFrame:
+    rows = searched(g, n, search)
+    return rows.groupBy("chain").agg(F.count("*").alias("districts"), F.sum("units").alias("units"), F.sum("pop").alias("pop"), F.bool_and(F.col("components") <= 1).alias("contiguous"), F.bool_and(F.col("units") > 0).alias("none_empty"))
+
+
+@query(_ANY)
 def search_randomize(g):
     return _searched(g, 6, lambda c: None)
 
 
-@query()
+@query(_ANY)
 def search_equalize(g):
     return _searched(g, 6, lambda c: c.equalize("pop", 0.02, 200) and None)
 
 
-@query()
+@query(_ANY)
 def search_anneal_balance(g):
     return _searched(g, 6, lambda c: c.anneal_balance("pop", 3000, 100.0, 0.01, 0.01))
 
 
-@query()
+@query(_ANY)
 def search_tabu_balance(g):
     return _searched(g, 6, lambda c: c.tabu_balance("pop", 200, 20, 0.05, 8))
 
 
-@query()
+@query(_ANY)
 def search_recombine(g):
     return _searched(g, 6, lambda c: c.recombine_some(20, "pop"))
 
 
-@query()
+@query(_ANY)
 def search_anneal(g):
     from parcelloom.operators.search import AnnealOptions, Phase, anneal
 
@@ -698,18 +852,11 @@ def _round_trip(e: DataFrame) -> DataFrame:
 
 
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_trip(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000"))
-
-
-def log_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``log_parse`` over all events."""
     return _round_trip(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 QUERIES["log_parse"] = log_parse
-SQL["log_parse"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events WHERE event_id < 5000"
-QUERIES["log_parse_all"] = log_parse_all
-SQL["log_parse_all"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events"
+SQL["log_parse"] = "SELECT event_id AS iter, CAST(1 AS INTEGER) AS phase, round(value, 2) AS obj, 0.5::DOUBLE AS temp, 0.25::DOUBLE AS prob FROM events"
 
 
 def move_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

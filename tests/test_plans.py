@@ -197,3 +197,35 @@ def test_configured_run(spark, grid, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "plans")).count() == 72
     with pytest.raises(ValueError):
         experiment.objective_of({"beauty": 1.0}, "pop", "dem", "rep", 0.05)
+
+
+def test_chains_go_on_from_their_own_plans(grid):
+    start = Plan(grid, 3).randomize(seed=5, chains=4)
+    out = start.equalize("pop", 0.3, 1)
+    before, after = ({r["chain"]: r["districts"] for r in x.dense().collect()} for x in (start, out))
+    assert sorted(after) == sorted(before) == [0, 1, 2, 3]
+    assert len({tuple(v) for v in before.values()}) > 1 and len({tuple(v) for v in after.values()}) > 1
+    same = start.equalize("pop", 100.0, 1)  # nothing to do
+    assert {r["chain"]: r["districts"] for r in same.dense().collect()} == before
+    more = start.equalize("pop", 100.0, 1, chains=6)
+    assert {r["chain"]: r["districts"] for r in more.dense().collect()} == {k: before[k % 4] for k in range(6)}
+    assert {r["chain"]: r["met"] for r in start.within("pop", 100.0).collect()} == dict.fromkeys(range(4), True)
+
+
+def test_dense_plans_and_files(grid, halves, tmp_path):
+    from parcelloom.sources import tables
+
+    tables.write_plan(grid.units(), halves.rows, str(tmp_path / "plan.csv"))
+    districts_ = halves.dense().first()["districts"]
+    assert Plan(grid, 2).load_csv(str(tmp_path / "plan.csv")).dense().first()["districts"] == districts_
+    assert Plan(grid, 2).set_dense(districts_).dense().first()["districts"] == districts_
+    with pytest.raises(ValueError):
+        Plan(grid, 2).set_dense([3] * 36)
+    one = json.loads(grid.to_geojson(("pop",), (0.1, 0.1, 0.9, 0.9)))
+    assert len(one["features"]) < 36
+
+
+def test_moves_that_break_a_district(grid, halves):
+    ask = lambda units, d: districts.movable(grid.edges(), halves.rows, units, d).first().asDict()
+    assert ask([2], 2)["allowed"] and not ask([0], 2)["contiguous"]
+    assert not ask([2, 3], 2)["one_part"] and not ask([6, 7, 8], 2)["contiguous"]

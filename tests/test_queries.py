@@ -40,10 +40,8 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("search_")))
 def test_searches_keep_units_and_contiguity(spark, name):
     rows = QUERIES[name](spark, DIR).collect()
-    assert len(rows) == 24
-    for chain in range(4):
-        own = [r for r in rows if r["chain"] == chain]
-        assert sum(r["units"] for r in own) == 150 and all(r["components"] == 1 for r in own)
+    assert len(rows) == 4
+    assert all(r["units"] == 150 and r["contiguous"] and r["districts"] == 6 for r in rows)
 
 
 LARGER = "/root/testdata/sf0.01"
@@ -51,14 +49,14 @@ LARGER = "/root/testdata/sf0.01"
 
 def test_all_events_are_parsed(spark):
     # more events than the ids below 5000
-    rows = QUERIES["log_parse_all"](spark, LARGER).collect()
+    rows = QUERIES["log_parse"](spark, LARGER).collect()
     events = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{LARGER}/events.parquet").collect()}
     assert len(rows) == len(events) > 5000
     assert all(abs(r["obj"] - events[r["iter"]]) <= 0.00501 for r in rows)
 
 
 def test_every_unit_is_looked_up(spark):
-    rows = {r["pid"]: r["idx"] for r in QUERIES["unit_at_all"](spark, LARGER).collect()}
+    rows = {r["pid"]: r["idx"] for r in QUERIES["unit_at"](spark, LARGER).collect()}
     assert rows == {i: -1 if i % 4 == 0 else i for i in range(spark.read.parquet(f"{LARGER}/customer.parquet").count())}
 
 
