@@ -121,6 +121,14 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _speakers(ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which rows have the smallest id of those with their fingerprints.  The smallest id of all is one of its batch's."""
+    order = np.lexsort((ids, prints[:, 1], prints[:, 0]))
+    out = np.zeros(len(ids), dtype=bool)
+    out[order[tk.first_of_runs(prints[order, 0], prints[order, 1])]] = True
+    return out
+
+
 _SCAN = "part int, ids binary, counts binary, body binary"
 
 
@@ -148,6 +156,9 @@ def _scan(k: int, num: int, den: int, parts: int):
                 continue
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.concatenate(ns).astype(np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(prints).tobytes()], pa.binary())], schema=schema)
             text, key = np.concatenate(texts), np.concatenate(keys)
+            # of equal sets the smallest id speaks for the batch, so that copies of a page don't meet in a shuffle
+            use = _speakers(ids, np.concatenate(prints))[text]
+            text, key = text[use], key[use]
             part = (key % np.uint64(parts)).astype(np.int64)
             key = key // np.uint64(parts) & np.uint64((1 << 40) - 1)
             order = np.argsort(part * len(ids) + text, kind="stable")

@@ -90,3 +90,13 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: int(want[i]) for i in {x for p in pairs if p[0] != p[1] for x in p}}
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_copies_speak_once():
+    import numpy as np
+
+    from parcelloom.llm import ngram_join as nj
+
+    ids = np.array([5, 3, 9, 3, 7])
+    prints = np.array([[1, 1], [1, 1], [2, 1], [1, 1], [2, 2]], dtype=np.uint64)
+    assert nj._speakers(ids, prints).tolist() == [False, True, True, False, True]
