@@ -1,6 +1,6 @@
 """WARC archives written from pages and read as a table of payload chunks.
 
-Writing: payloads are compared by digest and length; of equal ones that of the smallest page_id is a response
+Writing: payloads are compared by their SHA-256; of equal ones that of the smallest page_id is a response
 record and the others are revisit records that refer to it.  A payload is hashed, compressed and written a
 piece at a time from the batch that holds it.
 
@@ -119,9 +119,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: s
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("_key", F.sha2("html", 256))
-    first = written(rows.select("page_id", "_key").groupBy("_key").agg(F.min("page_id").alias("_first")), "first")
-    # payloads move once; a payload that many pages have is a partition that adaptive execution may split
-    rows = rows.join(first.hint("merge"), "_key")
+    # which record a page refers to is found by ids and digests alone
+    narrow = rows.select("page_id", "_key").distinct()
+    first = written(narrow.groupBy("_key").agg(F.min("page_id").alias("_first")), "first")
+    of = narrow.join(first, "_key").select(F.col("page_id").alias("_page"), F.col("_key").alias("_digest"), "_first")
+    # payloads move once, by page and digest, so copies of one payload don't meet; the narrow side is held in memory
+    rows = rows.join(of.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_key") == F.col("_digest")))
     revisit = F.coalesce((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull(), F.lit(False))
     rows = rows.select("page_id", "url", "html", "_first", revisit.alias("_revisit"))
     return written(rows.mapInArrow(_write(folder), "file string, records long, bytes long"), "manifest")
