@@ -28,7 +28,7 @@ from parcelloom.llm.shared import filesystem, parts_for, release, shared_dir, sm
 
 SEGMENT_TOKENS = 4 << 20
 #: Words whose ids a Python worker remembers from task to task, and bytes of text that are encoded at a time.
-REMEMBERED, AT_ONCE = 1 << 19, 2 << 20
+REMEMBERED, AT_ONCE = 2 << 20, 4 << 20
 #: A word that no other text shares a token with; words that hold it are encoded one by one.
 _MARK = "\x01"
 _ENCODERS: dict = {}
@@ -69,8 +69,10 @@ class TextEncoder:
 
     def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = []
-        for i in range(0, len(texts), 64):
-            parts.append(np.array(self._ids([f" {_MARK} ".join([*texts[i : i + 64], ""])])[0], dtype=np.uint32))
+        for lo in range(0, len(texts), 64 * 256):
+            here = texts[lo : lo + 64 * 256]
+            lines = self._ids([f" {_MARK} ".join([*here[i : i + 64], ""]) for i in range(0, len(here), 64)])
+            parts += [np.array(x, dtype=np.uint32) for x in lines]
         ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.mark)
         return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
