@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Levels from large to small, and the length of an identifier of each.
 LEVELS = ("state", "county", "tract", "group", "vtd", "block")
 ID_LENGTH = {"state": 2, "county": 5, "tract": 11, "group": 12, "vtd": 11, "block": 15}
+#: Levels whose units are prefixes of a level's identifiers.
+ABOVE = {"state": (), "county": ("state",), "tract": ("state", "county"), "group": ("state", "county", "tract"), "vtd": ("state", "county")}
 
 # Postal code, FIPS code and name of each state and district.
 STATES = {

@@ -136,6 +136,22 @@ def snapped(segs: DataFrame, tolerance: float) -> DataFrame:
     return root.join(of, "root").select(F.col("node").alias("k"), "x", "y")
 
 
+def snapped_geoms(geoms: DataFrame, tolerance: float) -> DataFrame:
+    """``idx, geom`` with near vertices of different units in one place.
+
+    Points that then repeat go, and so do rings of fewer than four points and polygons without an outer ring; a unit
+    that loses all of them has an empty geometry.  Only vertices that move are joined.
+    """
+    moved = snapped(segments(geoms), tolerance).where(vertex_key(F.col("x"), F.col("y")) != F.col("k")).withColumnsRenamed({"x": "to_x", "y": "to_y"})
+    at = rings(geoms).select("idx", "poly", "ring", F.posexplode("points").alias("pos", "p")).withColumn("k", vertex_key(F.col("p.x"), F.col("p.y"))).join(moved, "k", "left")
+    point = F.struct("pos", F.coalesce("to_x", "p.x").alias("x"), F.coalesce("to_y", "p.y").alias("y"))
+    by_ring = at.groupBy("idx", "poly", "ring").agg(F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    by_ring = by_ring.withColumn("points", F.filter("points", lambda p, i: (i == 0) | (p != F.get("points", i - 1)))).where(F.size("points") >= 4)
+    by_poly = by_ring.groupBy("idx", "poly").agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("r")).where(F.col("r")[0]["ring"] == 0)
+    by_unit = by_poly.groupBy("idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("poly", F.col("r.points").alias("r")))), lambda p: p["r"]).alias("geom"))
+    return geoms.select("idx").join(by_unit, "idx", "left").select("idx", F.coalesce("geom", F.array().cast(geoms.schema["geom"].dataType)).alias("geom"))
+
+
 def validate(segs: DataFrame, edges: DataFrame, unit_geom: DataFrame) -> DataFrame:
     """``rule, n``: how many rows break each rule; all 0 for a sound region."""
     back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("back"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LINE = r"Iter\s+(\d+)\s*\|\s*Phase\s+(\d+)\s*\|\s*Obj:\s*([-+.\deE]+)\s*\|\s*Best:\s*([-+.\deE]+)\s*\|\s*Temp:\s*([-+.\deE]+)\s*\|\s*Prob:\s*([-+.\deE]+)"
@@ -22,9 +22,18 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.select("chain", part(1, "long").alias("iter"), part(2, "int").alias("phase"), part(3, "double").alias("obj"), part(4, "double").alias("best"), part(5, "double").alias("temp"), part(6, "double").alias("prob"), named.alias("metrics"))
 
 
-def islands(trace: DataFrame) -> DataFrame:
-    """``chain, phase, first_iter, last_iter, rows`` of each unbroken run of a phase."""
-    order = Window.partitionBy("chain").orderBy("iter")
-    new = F.when(F.col("phase") == F.lag("phase").over(order), 0).otherwise(1)
-    run = F.sum("new").over(order)
-    return trace.withColumn("new", new).withColumn("run", run).groupBy("chain", "phase", "run").agg(F.min("iter").alias("first_iter"), F.max("iter").alias("last_iter"), F.count("*").alias("rows")).drop("run")
+def islands(trace: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``chain, phase, first_iter, last_iter, rows`` of each unbroken run of a phase.
+
+    Runs are found within spans of iterations, and those that go on across a border are then joined, so that the
+    trace of one long chain is many tasks' work.
+    """
+
+    def runs(rows: DataFrame, keys: list[str], at: str, first: Column, last: Column, n: Column) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(at)
+        new = F.when(F.col("phase").eqNullSafe(F.lag("phase").over(order)) & (F.row_number().over(order) > 1), 0).otherwise(1)
+        marked = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+        return marked.groupBy(*keys, "phase", "run").agg(first.alias("first_iter"), last.alias("last_iter"), n.alias("rows")).drop("run")
+
+    pieces = runs(trace.withColumn("_span", F.expr(f"iter div {span}")), ["chain", "_span"], "iter", F.min("iter"), F.max("iter"), F.count("*"))
+    return runs(pieces, ["chain"], "first_iter", F.min("first_iter"), F.max("last_iter"), F.sum("rows"))

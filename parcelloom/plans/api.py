@@ -7,17 +7,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelloom.functions import ids
+from parcelloom.functions.measure import zoom_tolerance
 from parcelloom.functions.metrics import Metric, Objective
 from parcelloom.operators import districts, outline, rollup, search, topology
 from parcelloom.plans import scoring
-from parcelloom.sources import render, tables
+from parcelloom.sources import archive, render, tables, tiles
 from parcelloom.sources.wkb import wkb_column
 from parcelloom.storage import table
 
 
 @dataclass
 class Map:
-    """The layers of a map by level, each with ``units`` and, for the base level, ``geoms``; the base level is ``block``."""
+    """The layers of a map by level, each with ``units`` and ``geoms``; the base level is ``block``."""
 
     spark: SparkSession
     layers: dict[str, dict[str, DataFrame]]
@@ -32,24 +34,32 @@ class Map:
         return tables.write_pack(self.spark, self.layers, path, fmt)
 
     @staticmethod
-    def build(spark: SparkSession, blocks: DataFrame, geoms: DataFrame, data: list[DataFrame], bridges: DataFrame | None = None) -> "Map":
+    def build(spark: SparkSession, blocks: DataFrame, geoms: DataFrame, data: list[DataFrame], bridges: DataFrame | None = None, snap: float | None = None) -> "Map":
         """All levels from blocks ``idx, geo_id, ...`` with their parents, their polygons, and attribute tables by ``geo_id``.
 
-        Attributes and the outer perimeter are summed up the levels; ``bridges`` (``a, b``) are forced neighbours.
+        Attributes and the outer perimeter are summed up the levels, outlines of levels are the unions of their blocks
+        and a unit above the blocks is named by its id.  ``bridges`` (``a, b``) are forced neighbours.  ``snap`` puts
+        vertices of different blocks that are no farther apart (degrees) in one place first.
         """
+        if snap:
+            geoms = table(topology.snapped_geoms(geoms, snap), "snapped")
         out = Map(spark, {"block": {"units": blocks, "geoms": geoms}})
         units = blocks
         for d in data:
             units = rollup.merge_attributes(units, d)
         units = units.join(out.outer(), "idx", "left").na.fill(0.0, ["outer_perimeter_m"])
-        sums = rollup.roll_up(units)
+        sums = rollup.roll_up(units.drop("centroid_lon", "centroid_lat"))
         out.layers["block"]["units"] = units
         out.layers["block"]["edges"] = out.edges() if bridges is None else topology.forced_adjacency(out.edges(), bridges)
-        out._derived["edges"] = out.layers["block"]["edges"]
         for level in ("state", "county", "tract", "group", "vtd"):
             if f"parent_{level}" in units.columns:
-                layer = sums.where(F.col("layer") == level).drop("layer").withColumn("_prefix", F.substring("geo_id", 1, 2))
-                out.layers[level] = {"units": rollup.row_index(layer, "_prefix", ["geo_id"]).drop("_prefix")}
+                layer = sums.where(F.col("layer") == level).drop("layer").withColumns({"name": F.col("geo_id"), "_prefix": F.substring("geo_id", 1, 2)})
+                for above in ids.ABOVE[level]:
+                    layer = layer.withColumn(f"parent_{above}", ids.parent(F.col("geo_id"), above))
+                layer = rollup.row_index(layer, "_prefix", ["geo_id"]).drop("_prefix")
+                blocks_of = units.select("idx", F.col(f"parent_{level}").alias("geo_id")).where("geo_id is not null")
+                outlines = outline.dissolved(out.segments(), blocks_of, ["geo_id"])
+                out.layers[level] = {"units": layer, "geoms": outlines.join(layer.select("idx", "geo_id"), "geo_id").select("idx", "geom")}
         return out
 
     def units(self, level: str | None = None) -> DataFrame:
@@ -63,16 +73,25 @@ class Map:
             self._derived[name] = table(make(), name)
         return self._derived[name]
 
-    def segments(self) -> DataFrame:
-        return self._once("segments", lambda: topology.segments(self.layers[self.base]["geoms"]))
+    def segments(self, level: str | None = None) -> DataFrame:
+        level = level or self.base
+        return self._once(f"segments_{level}", lambda: topology.segments(self.layers[level]["geoms"]))
 
-    def edges(self) -> DataFrame:
-        if "edges" in self.layers[self.base]:
-            return self.layers[self.base]["edges"]
-        return self._once("edges", lambda: topology.rook_edges(self.segments()))
+    def edges(self, level: str | None = None) -> DataFrame:
+        level = level or self.base
+        if "edges" in self.layers[level]:
+            return self.layers[level]["edges"]
+        return self._once(f"edges_{level}", lambda: topology.rook_edges(self.segments(level)))
 
-    def geometry(self) -> DataFrame:
-        return self._once("geometry", lambda: topology.unit_geometry(self.segments()))
+    def geometry(self, level: str | None = None) -> DataFrame:
+        level = level or self.base
+        return self._once(f"geometry_{level}", lambda: topology.unit_geometry(self.segments(level)))
+
+    def centroids(self, level: str | None = None) -> DataFrame:
+        """``idx, centroid_lon, centroid_lat`` as the layer's table has them, NaN where it has none."""
+        units = self.units(level)
+        have = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) if c in units.columns else F.lit(float("nan"))
+        return units.select("idx", *(have(c).alias(c) for c in ("centroid_lon", "centroid_lat")))
 
     def outer(self) -> DataFrame:
         return self.geometry().select("idx", F.col("ext_len").alias("outer_perimeter_m"))
@@ -80,9 +99,9 @@ class Map:
     def geometry_stats(self) -> DataFrame:
         return topology.geometry_stats(self.layers[self.base]["geoms"], self.geometry())
 
-    def to_svg(self, width: float = 1000.0, margin: float = 10.0, series: str | None = None, edges: bool = False) -> str:
+    def to_svg(self, width: float = 1000.0, margin: float = 10.0, series: str | None = None, edges: bool = False, level: str | None = None) -> str:
         view, height = self._view(width, margin)
-        rows = render.layer_svg_rows(self.units(), self.layers[self.base]["geoms"], view, series)
+        rows = render.layer_svg_rows(self.units(level), self.layers[level or self.base]["geoms"], view, series)
         if edges:
             rows = rows.unionByName(render.edge_svg_rows(self.units(), self.edges(), view))
         return render.svg_document(rows, width, height)
@@ -92,12 +111,27 @@ class Map:
         view = render.Viewport.fit(*b, width, margin)
         return view, (b[3] - b[1]) * view.scale + 2 * margin
 
-    def to_geojson(self, series: tuple[str, ...] = (), bounds: tuple[float, float, float, float] | None = None) -> str:
-        """All units, or those whose box meets ``bounds`` (west, south, east, north)."""
-        units = self.units()
+    def to_geojson(self, series: tuple[str, ...] = (), bounds: tuple[float, float, float, float] | None = None, level: str | None = None) -> str:
+        """All units of a level, or those whose box meets ``bounds`` (west, south, east, north)."""
+        units = self.units(level)
         if bounds:
-            units = units.join(topology.in_envelope(self.geometry(), *bounds).select("idx"), "idx", "left_semi")
-        return render.feature_collection(render.features(units, self.layers[self.base]["geoms"], None, series))
+            units = units.join(topology.in_envelope(self.geometry(level), *bounds).select("idx"), "idx", "left_semi")
+        return render.feature_collection(render.features(units, self.layers[level or self.base]["geoms"], None, series))
+
+    def tiles(self, zooms: range, level: str | None = None) -> DataFrame:
+        """``zoom, x, y, tile, features`` of a level; borders are simplified by zoom, the largest has them whole."""
+        level = level or self.base
+        out = None
+        for zoom in zooms:
+            geoms = outline.simplified_geoms(self.segments(level), zoom_tolerance(zoom, zooms[-1])) if zoom < zooms[-1] else self.layers[level]["geoms"]
+            rows = tiles.tiles(self.units(level), geoms, self.geometry(level), level, zoom)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def to_archive(self, path: str, zooms: range, level: str | None = None) -> int:
+        """The level's tiles as one file; returns how many there are."""
+        b = self.geometry().agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
+        return archive.write_archive(table(self.tiles(zooms, level), "tiles"), path, tuple(b))
 
     def graph(self, series: list[str]) -> search.Graph:
         return search.Graph.collect(self.units(), self.edges(), self.outer(), series)

@@ -223,6 +223,34 @@ def snapped_vertices(g):
     return topology.snapped(topology.segments(_shaken(g)), 2e-4).agg(F.count_distinct("x", "y").alias("vertices"))
 
 
+@query("SELECT src, dst FROM e")
+def snapped_edges(g):
+    """Neighbours of units that no longer fit, once their vertices are snapped: those of the whole grid."""
+    return topology.rook_edges(topology.segments(topology.snapped_geoms(_shaken(g), 2e-4))).select("src", "dst")
+
+
+@query("SELECT 'overlap' AS rule, CAST(4 * count(*) AS BIGINT) AS n FROM u WHERE gx % 5 = 0 HAVING count(*) > 0")
+def validate_overlaps(g):
+    """Every cell of each fifth column a second time, under another number: the rules that this breaks."""
+    again = g.geoms.join(g.units.where("gx % 5 = 0").select("idx"), "idx").select((-1 - F.col("idx")).alias("idx"), "geom")
+    segs = topology.segments(g.geoms.unionByName(again))
+    return topology.validate(segs, topology.rook_edges(segs), topology.unit_geometry(segs)).where("n > 0")
+
+
+@query("SELECT parent_county AS geo_id, parent_state, CAST(sum(pop) AS BIGINT) AS pop, count(*) AS blocks FROM u GROUP BY 1, 2")
+def layer_geometry(g):
+    """Counties of a built map with their parents and sums, and the blocks in their outlines, by area."""
+    from parcelloom.functions.measure import signed_area
+    from parcelloom.plans.api import Map
+    from parcelloom.plans.gridmap import SIDE
+
+    blocks = g.units.select("idx", "geo_id", "name", "pop", "centroid_lon", "centroid_lat", *(f"parent_{x}" for x in ("state", "county")))
+    m = Map.build(g.units.sparkSession, blocks, g.geoms, [])
+    areas = F.aggregate(F.flatten("geom"), F.lit(0.0), lambda a, r: a + signed_area(r))
+    cells = m.layers["county"]["geoms"].select("idx", F.round(areas / (2 * SIDE * SIDE)).cast("long").alias("blocks"))
+    return m.units("county").join(cells, "idx").select("geo_id", "parent_state", "pop", "blocks")
+
+
 @query("SELECT * FROM (VALUES ('one-way edge', CAST(0 AS BIGINT)), ('overlap', CAST(0 AS BIGINT)), ('negative area', CAST(0 AS BIGINT)), ('loop', CAST(0 AS BIGINT))) t(rule, n)", plain=True)
 def validate_region(g):
     d = Derived.of(g)

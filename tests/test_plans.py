@@ -229,3 +229,47 @@ def test_moves_that_break_a_district(grid, halves):
     ask = lambda units, d: districts.movable(grid.edges(), halves.rows, units, d).first().asDict()
     assert ask([2], 2)["allowed"] and not ask([0], 2)["contiguous"]
     assert not ask([2, 3], 2)["one_part"] and not ask([6, 7, 8], 2)["contiguous"]
+
+
+def test_layers_have_outlines_and_parents(grid):
+    county = grid.layers["county"]
+    assert {r["parent_state"] for r in county["units"].collect()} == {"17"} and "parent_county" not in county["units"].columns
+    boxes = {(r["minx"], r["miny"], r["maxx"], r["maxy"]) for r in grid.geometry("county").collect()}
+    assert boxes == {(0.0, 0.0, 3.0, 6.0), (3.0, 0.0, 6.0, 6.0)}
+    assert grid.to_svg(level="county").count("<path d") == 2
+    assert len(json.loads(grid.to_geojson(("pop",), (0.0, 0.0, 2.5, 1.0), "county"))["features"]) == 1
+    assert {(r["src"], r["dst"]) for r in grid.edges("county").collect()} == {(0, 1), (1, 0)}
+    assert grid.centroids().where("isnan(centroid_lon)").count() == 0 and grid.centroids("county").where("isnan(centroid_lon)").count() == 2
+
+
+def test_build_snaps(spark):
+    from tests.shapes import box, frame
+
+    geoms = frame(spark, [[[box(0, 0, 1, 1)]], [[box(1.0001, 0, 2, 1)]], [[box(5, 5, 5.0001, 5.0001)]]])
+    blocks = spark.createDataFrame([(i, f"17001000100100{i}", f"b{i}", 1, "17") for i in range(3)], "idx int, geo_id string, name string, pop long, parent_state string")
+    assert Map.build(spark, blocks, geoms, []).edges().count() == 0
+    assert {(r["src"], r["dst"]) for r in Map.build(spark, blocks, geoms, [], snap=0.001).edges().collect()} == {(0, 1), (1, 0)}
+
+
+def test_runs_go_on_across_spans(spark):
+    from parcelloom.operators.trace import islands
+
+    phases = [0, 0, 0, 1, 1, 1, 1, 1, 0, 2, None, None, None]
+    trace = spark.createDataFrame([(c, i, p) for c in (0, 1) for i, p in enumerate(phases)], "chain int, iter long, phase int")
+    want = {(c, *x) for c in (0, 1) for x in ((0, 0, 2, 3), (1, 3, 7, 5), (0, 8, 8, 1), (2, 9, 9, 1), (None, 10, 12, 3))}
+    for span in (1, 2, 3, 100):
+        assert {tuple(r) for r in islands(trace, span).select("chain", "phase", "first_iter", "last_iter", "rows").collect()} == want
+
+
+def test_archive_has_every_tile(spark, grid, tmp_path, monkeypatch):
+    from parcelloom.sources import archive
+
+    assert [archive.tile_id(1, x, y) for x, y in ((0, 0), (0, 1), (1, 1), (1, 0))] == [1, 2, 3, 4]
+    assert sorted(archive.tile_id(3, x, y) for x in range(8) for y in range(8)) == list(range(21, 85))
+    whole = grid.tiles(range(4, 9)).collect()
+    for most, leaf in ((16384, 4096), (0, 5)):
+        monkeypatch.setattr(archive, "ROOT_MOST", most)
+        monkeypatch.setattr(archive, "LEAF", leaf)
+        path = tmp_path / f"{leaf}.pmtiles"
+        assert grid.to_archive(str(path), range(4, 9)) == len(whole) > 5
+        assert archive.read_archive(path.read_bytes()) == {archive.tile_id(r["zoom"], r["x"], r["y"]): bytes(r["tile"]) for r in whole}
