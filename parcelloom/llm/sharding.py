@@ -74,16 +74,30 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def told_apart(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with ``_copy``, written: 1 for a row whose key no other has, and counted on for others of its input partition.
+
+    A key that many rows have is counted in as many tasks as it has input partitions, and by key and ``_copy`` no
+    more rows agree than there are such partitions.
+    """
+    at = df.withColumn("_from", F.spark_partition_id())
+    copy = F.row_number().over(Window.partitionBy(*key, "_from").orderBy("_from"))
+    return written(at.withColumn("_copy", copy).drop("_from"), "told_apart")
+
+
 def uniform_shards(df: DataFrame, shards: int, key: list, seed: int = 11) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards - 1``, counts at most one apart) and ``slot`` (gapless from 0 in a shard).
 
     ``key`` names columns that tell rows apart; rows that agree in them are spread like any others but are
-    interchangeable.  Nulls in them are values.  Columns named ``shard`` and ``slot`` are replaced.  An empty
+    interchangeable, and where there are such rows the result depends on how the input is split.  Nulls in ``key``
+    are values.  Columns named ``shard`` and ``slot`` are replaced.  An empty
     table gives an empty result.
     """
     spark = df.sparkSession
     df, names = numbered(df)
     key = [names[c] for c in key]
+    df = told_apart(df, key)
+    key = [*key, "_copy"]
     parts = parts_for(df.count(), EACH, 24, MOST)
     at = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int")
     counts = {r["_part"]: r["n"] for r in df.select(at.alias("_part")).groupBy("_part").agg(F.count("*").alias("n")).collect()}

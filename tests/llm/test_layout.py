@@ -61,6 +61,21 @@ def test_shards_mix_neighbours(spark):
     assert abs(place) < 0.06
 
 
+def test_rows_that_agree_are_spread(spark):
+    """Thirty thousand equal rows of 40,000, nulls among them, and long texts in a column that is no key."""
+    df = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") >= 30_000, F.col("id")).alias("doc_id"), F.when(F.col("id") % 9999 == 0, F.repeat(F.lit("x"), 200_000)).alias("text"), F.lit("s").alias("shard"))
+    apart = sharding.told_apart(df, ["doc_id"])
+    assert apart.groupBy("doc_id", "_copy").count().agg(F.max("count")).first()[0] <= 4 and apart.where("doc_id is not null and _copy <> 1").count() == 0
+    sizes = apart.groupBy(F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(24)).alias("p")).count().collect()
+    assert len(sizes) == 24 and max(r["count"] for r in sizes) < 2 * 40_000 / 24
+    rows = sharding.uniform_shards(df, 24, ["doc_id"]).select("doc_id", "shard", "slot", F.length("text").alias("n")).collect()
+    assert len(rows) == 40_000 and sum(r["n"] is not None for r in rows) == 5
+    assert {tuple(r) for r in df.where("doc_id is not null").select("doc_id").collect()} == {(r["doc_id"],) for r in rows if r["doc_id"] is not None}
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 40_000 and all(r["slot"] < counts[r["shard"]] for r in rows)
+
+
 def test_targets():
     assert mixing.cyclic_weights([None, "b", "a", "é"]) == {"a": 1, "b": 2, "é": 3, None: 1}
     t = mixing.targets({"a": 10, "b": 10, "c": 980}, {"a": 1, "b": 2, "c": 3})
