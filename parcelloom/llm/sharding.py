@@ -75,22 +75,24 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def told_apart(df: DataFrame, key: list[str]) -> DataFrame:
-    """``df`` with ``_copy``, written: 1 for a row whose key no other has, and counted on for others of its input partition.
+    """``df`` with ``_copy``, written: numbers from 0 of the rows that agree in ``key``.
 
-    A key that many rows have is counted in as many tasks as it has input partitions, and by key and ``_copy`` no
-    more rows agree than there are such partitions.
+    A key that many rows have is counted input partition by input partition, and each partition's numbers go on
+    from those before, so no task sees all of its rows and the numbers don't depend on how the input is split.
     """
-    at = df.withColumn("_from", F.spark_partition_id())
-    copy = F.row_number().over(Window.partitionBy(*key, "_from").orderBy("_from"))
-    return written(at.withColumn("_copy", copy).drop("_from"), "told_apart")
+    at = written(df.withColumns({"_from": F.spark_partition_id(), "_h": F.xxhash64(*key)}), "split")
+    before = F.sum("_n").over(Window.partitionBy("_h").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    counts = at.groupBy("_h", "_from").agg(F.count("*").alias("_n")).select("_h", "_from", before.alias("_before")).where("_before is not null")
+    copy = F.row_number().over(Window.partitionBy("_h", "_from").orderBy("_from")) - 1
+    out = at.withColumn("_copy", copy).join(counts, ["_h", "_from"], "left").withColumn("_copy", F.col("_copy") + F.coalesce("_before", F.lit(0)))
+    return written(out.drop("_from", "_h", "_before"), "told_apart")
 
 
 def uniform_shards(df: DataFrame, shards: int, key: list, seed: int = 11) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards - 1``, counts at most one apart) and ``slot`` (gapless from 0 in a shard).
 
     ``key`` names columns that tell rows apart; rows that agree in them are spread like any others but are
-    interchangeable, and where there are such rows the result depends on how the input is split.  Nulls in ``key``
-    are values.  Columns named ``shard`` and ``slot`` are replaced.  An empty
+    interchangeable.  Nulls in ``key`` are values.  Columns named ``shard`` and ``slot`` are replaced.  An empty
     table gives an empty result.
     """
     spark = df.sparkSession
