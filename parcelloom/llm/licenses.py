@@ -221,3 +221,34 @@ def license_scan(docs: DataFrame, index: Index | None = None, doc_id: str = "doc
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     """The phrases and templates of this module over all documents."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _rows(rows) -> str:
+    """SQL of rows of numbers, words and lists of words; all of them are of this module."""
+    one = lambda x: str(x) if isinstance(x, int) else f"'{x}'" if isinstance(x, str) else f"[{', '.join(map(one, x))}]"
+    return "VALUES " + ", ".join(f"({', '.join(map(one, r))})" for r in rows)
+
+
+def _sql(templates=TEMPLATES, phrases=PHRASES, coverage: float = 0.8, slack: int = 3) -> str:
+    words = [(t.label, len(t.text.split()), q, w) for t in templates for q, w in enumerate(t.text.split())]
+    starts = lambda t, m: next(q for q in range(len(t)) if t[q : q + len(m)] == m)
+    must = [(t.label, len(t.mandatory), k, starts(t.text.split(), m.split()), m.split()) for t in templates for k, m in enumerate(t.mandatory)]
+    return rf"""
+WITH t(label, size, q, word) AS ({_rows(words)}),
+must(label, all_of, k, q, words) AS ({_rows(must)}),
+phrase(label, words) AS ({_rows((label, p.split()) for p, label in phrases.items())}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+base AS (SELECT r, label, p FROM pos JOIN phrase ON word = words[1] JOIN d USING (r) WHERE w[p + 1:p + len(words)] = words),
+placed AS (SELECT r, label, p - q AS i, count(*) / size::DOUBLE AS share FROM pos JOIN t USING (word) GROUP BY r, label, p - q, size HAVING count(*) / size::DOUBLE >= {coverage}::DOUBLE),
+stands AS (SELECT r, label, all_of, k, p - q AS i FROM pos JOIN must ON word = words[1] JOIN d USING (r) WHERE w[p + 1:p + len(words)] = words),
+found AS (SELECT a.r, a.label, a.i, share FROM placed a JOIN stands b ON a.r = b.r AND a.label = b.label AND abs(a.i - b.i) <= {slack} GROUP BY a.r, a.label, a.i, share, all_of HAVING count(DISTINCT k) = all_of),
+label AS (SELECT r, label, 0.5::DOUBLE AS score, true AS is_base FROM base UNION ALL SELECT r, label, share, false FROM found),
+places AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM base GROUP BY r),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM label GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN places USING (r) LEFT JOIN labels USING (r)
+"""
+
+
+OP10_SQL = _sql()

@@ -10,7 +10,8 @@ Three scans of the texts, and no shuffle of texts:
 3.  Per document the base counts, and the Jensen-Shannon distance (base 2, 0 to 1) of its class histogram
     and of its common-word histogram (the reference words, and all others as one) to its language's.
 
-The references hold at most ``common`` words for each language with enough words, however large the corpus.
+The references of each language with enough words hold its ``common`` most frequent words, and those that are as frequent
+as the last of them: at most ``rarest`` words, however large the corpus.
 """
 
 from __future__ import annotations
@@ -172,8 +173,9 @@ def references(docs: DataFrame, rules: QualityRules) -> dict:
         for r in own:
             if r["kind"] == 1:
                 classes[r["item"]] = r["n"]
-        common = sorted((r for r in own if r["kind"] == 2), key=lambda r: (-r["n"], r["item"]))[: rules.common]
-        common = sorted((int(np.int64(r["item"]).astype(np.uint64)), r["n"]) for r in common)
+        common = [(int(np.int64(r["item"]).astype(np.uint64)), r["n"]) for r in own if r["kind"] == 2]
+        least = min(sorted((n for _, n in common), reverse=True)[: rules.common], default=0)
+        common = sorted((h, n) for h, n in common if n >= least)
         share = np.array([n for _, n in common] + [total - sum(n for _, n in common)], dtype=float) / total
         classes = classes[COUNTED]
         out[lang] = (classes / max(1.0, classes.sum()), np.array([h for h, _ in common], np.uint64), share)
@@ -295,5 +297,34 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Production parameters over all documents."""
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Production parameters over all documents; distances to six places."""
+    found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+#: Each class of ``COUNTED``, in order, as what it is not.
+_NOT = ("[^a-z]", "[^A-Z]", "[^0-9]", "[^#*$%&|<>]", "[^.,]", r"[^!-~]|[a-zA-Z0-9#*$%&|<>.,]", r"[\x00-\x7F]", r"[^\x00-\x08\x0E-\x1F\x7F]")
+_JS = "sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)))"
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT r, lang, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+size AS (SELECT lang, sum(len(w)) AS words FROM d GROUP BY lang HAVING sum(len(w)) >= 5000),
+c AS (SELECT r, lang, unnest(range({len(_NOT)})) AS k, unnest([{", ".join(f"length(regexp_replace(text, '{x}', '', 'g'))" for x in _NOT)}]) AS n FROM d),
+class_ref AS (SELECT lang, k, sum(n) / greatest(1, sum(sum(n)) OVER (PARTITION BY lang))::DOUBLE AS q FROM c GROUP BY lang, k),
+long_c AS (SELECT *, n / sum(n) OVER (PARTITION BY r)::DOUBLE AS p FROM c QUALIFY sum(n) OVER (PARTITION BY r) >= 200),
+class_far AS (SELECT r, {_JS} AS far FROM long_c c JOIN class_ref x ON c.k = x.k AND c.lang IS NOT DISTINCT FROM x.lang JOIN size s ON c.lang IS NOT DISTINCT FROM s.lang GROUP BY r),
+word_n AS (SELECT lang, word, count(*) AS n, rank() OVER (PARTITION BY lang ORDER BY count(*) DESC) AS place FROM pos GROUP BY lang, word),
+word_ref AS (SELECT x.lang, word, n / words::DOUBLE AS q FROM word_n x JOIN size s ON x.lang IS NOT DISTINCT FROM s.lang WHERE place <= 50 AND n * 1000 >= words),
+long_d AS (SELECT r, d.lang, len(w) AS n FROM d JOIN size s ON d.lang IS NOT DISTINCT FROM s.lang WHERE len(w) >= 100),
+own AS (SELECT r, word, count(*) AS n FROM pos GROUP BY r, word),
+cell AS (SELECT d.r, coalesce(own.n, 0) / d.n::DOUBLE AS p, x.q FROM long_d d JOIN word_ref x ON d.lang IS NOT DISTINCT FROM x.lang LEFT JOIN own ON own.r = d.r AND own.word = x.word),
+cells AS (SELECT * FROM cell UNION ALL SELECT d.r, 1 - coalesce(sum(p), 0), 1 - coalesce(sum(q), 0) FROM long_d d LEFT JOIN cell USING (r) GROUP BY d.r),
+word_far AS (SELECT r, {_JS} AS far FROM cells GROUP BY r),
+three AS (SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, p, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE c IS NOT NULL),
+hit AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS x FROM three WHERE n > 1) GROUP BY r),
+line AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(line.n, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, class_far.far AS c, word_far.far AS f FROM d LEFT JOIN line USING (r) LEFT JOIN hit USING (r) LEFT JOIN class_far USING (r) LEFT JOIN word_far USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(c <= 0.35, true) AND coalesce(f <= 0.5, true) AS kept, round(c, 6) AS class_distance, round(f, 6) AS word_distance FROM b
+"""
