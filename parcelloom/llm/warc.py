@@ -246,7 +246,9 @@ def read_chunks(manifest: DataFrame, folder: str, with_data: bool = True, chunk:
 
     ``page_id, record_type, refers_to, chunk`` (from 0), ``last``, ``payload_bytes`` and ``payload_digest`` (base32
     SHA-1) of the payload up to and with the chunk, and ``data`` (null without ``with_data``).  A revisit record and an
-    empty payload have one row; a revisit's length and digest are those of the payload that it refers to.
+    empty payload have one row; a revisit's length and digest are those of the payload that it refers to.  Repeated and
+    null page_ids have a record, so rows, of their own each; a payload that does not have its recorded digest is an error,
+    and an empty manifest gives no rows.
     """
     return manifest.select("file").repartition(max(1, min(manifest.count(), 65536))).mapInArrow(_chunks(folder, with_data, chunk), CHUNK_SCHEMA)
 

@@ -286,6 +286,19 @@ def test_small_payloads_and_empty_tables(spark, tmp_path):
     assert m.count() == 0 and warc.read_chunks(m, str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_pages_and_clashing_columns(spark, tmp_path):
+    """A repeated page is written as often as it comes; page_id 4 has two payloads."""
+    rows = [(4, "u", "one"), (4, "u", "one"), (4, "u", "two"), (6, "u", "one"), (6, "u", "one"), (None, "u", "one"), (None, "u", "nul"), (None, "u", "nul")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n, name in enumerate(("_key", "_first", "_page", "_digest", "_revisit", "chunk", "last", "data")):
+        df = df.withColumn(name, F.lit(n))
+    folder = str(tmp_path / "warc")
+    manifest = warc.write_archives(df, folder)
+    assert sum(r["records"] for r in manifest.collect()) == len(rows)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_chunks(manifest, folder).where("last").collect()), key=str)
+    assert got == sorted([(4, "response", None)] * 3 + [(6, "revisit", 4)] * 2 + [(None, "revisit", 4)] + [(None, "response", None)] * 2, key=str)
+
+
 def test_a_changed_payload_is_found(spark, tmp_path):
     folder = tmp_path / "warc"
     manifest = warc.write_archives(spark.createDataFrame([(1, "u", "hello world", "")], PAGES), str(folder))

@@ -82,6 +82,24 @@ def test_positive_unlabelled_learning(spark):
     assert {r["score"] for r in none.collect()} == {0.5}
 
 
+def test_odd_rows_are_scored(spark):
+    """Null and repeated ids, very long texts and columns with the operator's own names."""
+    texts = LONG_GOOD + BAD + [None, "", brute.LONG, LONG_GOOD[0], BAD[0], brute.LONG]
+    n = len(LONG_GOOD) + len(BAD)
+    ids = [*range(n + 3), None, None, n + 2]
+    df = brute.documents(spark, texts, ids)
+    for name in ("score", "held_out", "half", "predicted", "quality"):
+        df = df.withColumn(name, df["shard"])
+    labels = spark.createDataFrame([(i, 1) for i in range(0, len(LONG_GOOD), 2)] + [(0, 1), (None, 1), (1, None), (10**6, 1)], "doc_id long, quality int")
+    rows = qc.quality_scores(df, labels, p=qc.PuParameters(steps=80)).collect()
+    assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert all(r["held_out"] for r in rows if r["doc_id"] is None)
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], []).append(r["score"])
+    assert len(of[n + 2]) == 2 and len(set(of[n + 2])) == 1 and of[n] == of[n + 1]
+
+
 def test_prior_of_a_known_mixture():
     rng = np.random.default_rng(3)
     p = rng.normal(2, 1, 4000)
