@@ -9,6 +9,9 @@
     prefix in hash order.  Equal ranges meet in a shuffle of packed keys; each task reduces what met to a
     spanning forest.  The components of all forests are the row blocks.  Ranges of one shingle make no
     keys, as texts with a passage in common would all hang together by them.
+    A block of more rows than one part may hold may hang together by passages that many texts have.  Its rows are
+    blocked anew, without loss: with shingles in the order of their numbers of texts, two similar sets of n and
+    m shingles share one of the n - ceil(tn) + 1 and m - ceil(tm) + 1 rarest ones.
 3.  Within a row block the product of the incidence matrix with its transpose is summed over blocks of
     columns; entries below the bound that the two sizes give are discarded, the others are links.  A block
     of many or large rows is cut, and each pair of its parts is a task of its own.  Tasks give each row's
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelloom.llm import textkernel as tk
@@ -233,6 +236,45 @@ def _rows(k: int):
     return run
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the incidence matrix: document, size and 32 bits of the set's fingerprint (documents may share an id), shingle."""
+    for batch in batches:
+        sets = batch.column(1).to_pylist()
+        h = np.frombuffer(b"".join(sets), np.uint64)
+        n = np.array([len(x) // 8 for x in sets], dtype=np.int64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix64(h))])
+        own = n << 32 | (np.diff(total[np.concatenate([[0], np.cumsum(n)])]) >> np.uint64(32)).astype(np.int64)
+        doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(own, n)), pa.array(h.astype(np.int64))], names=["doc_id", "own", "shingle"])
+
+
+def rare_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``(node, root)`` of the documents that hang together by shingles that are rare among ``rows(doc_id, body)``.
+
+    A document that has none of its rarest shingles in common is in no block.
+    """
+    entries = written(rows.select("doc_id", "body").mapInArrow(_entries, "doc_id long, own long, shingle long"), "entries")
+    # written before it is joined back, so that a frequent shingle's entries can be split over tasks
+    often = written(entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # shingles of one text come last here and are needed for nothing; repeated rows have the same ranks
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("n"), F.desc("shingle")))
+    least = F.ceil(F.shiftright("own", 32) * num / den)
+    keys = written(entries.join(often, "shingle").withColumn("rank", rank).where(F.col("rank") >= least).select("shingle", "doc_id"), "keys")
+    hubs = written(keys.groupBy("shingle").agg(F.min("doc_id").alias("v")), "hubs")
+    return connected(keys.join(hubs, "shingle").select(F.col("doc_id").alias("u"), "v"))
+
+
+def _cut(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of the matrix: ``doc_id, root, copies``, into how many parts their block is cut and the part they are of."""
+    # only classes' smallest documents are rows of the matrix
+    members = blocks.join(classes.select(F.col("rep").alias("node"), "copies", "n"), "node")
+    of_block = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).where("rows > 1")
+    cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = members.join(of_block.select("root", cut.alias("cut")), "root")
+    members = members.select(F.col("node").alias("doc_id"), "root", "copies", "cut", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int").alias("own"))
+    return members.dropDuplicates(["doc_id"])
+
+
 def links(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, of ``one`` with ``two`` or (each once) of ``one`` with itself, with similarity ``num / den`` or more.
 
@@ -340,16 +382,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sets = scanned.where("part < 0").mapInArrow(_summaries, "doc_id long, n_shingles long, f0 long, f1 long")
     classes = written(sets.where("n_shingles > 0").groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("n_shingles").alias("n")), "classes")
     met = scanned.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met, "u long, v long")
-    blocks = connected(met)
-    # only classes' smallest documents are rows of the matrix
-    members = blocks.join(classes.select(F.col("rep").alias("node"), "copies", "n"), "node")
-    of_block = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).where("rows > 1")
-    cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(of_block.select("root", cut.alias("cut")), "root")
-    members = members.select(F.col("node").alias("doc_id"), "root", "copies", "cut", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int").alias("own"))
+    members = written(_cut(connected(met), classes), "members")
     # texts move once and are not sorted, and nothing that grows with the input is broadcast: members are held a partition at a time
-    rows = docs.join(written(members.dropDuplicates(["doc_id"]), "members").hint("shuffle_hash"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
+    rows = docs.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "root", "copies", "cut", "own", "text")
     rows = rows.mapInArrow(_rows(k), "doc_id long, root long, copies long, cut int, own int, body binary")
+    if not members.where("cut > 1").isEmpty():
+        # rows are shipped once for each part of their block, so blocks are made as small as can be
+        rows = written(rows, "rows")
+        wide = rows.where("cut > 1").select("doc_id", "body")
+        finer = written(_cut(rare_blocks(wide, num, den), classes), "finer")
+        rows = rows.where("cut = 1").unionByName(wide.join(finer, "doc_id"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), F.when(F.col("own") > x, 1).otherwise(0).alias("side"))))
     rows = rows.select("doc_id", "root", "copies", "body", pair.alias("p")).select(F.col("root").alias("block"), "p.i", "p.j", "p.side", "doc_id", "copies", "body")
     tasks = rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")

@@ -40,6 +40,29 @@ def test_cut_blocks_give_the_same(spark, monkeypatch):
     assert result(nj.ngram_jaccard_join(brute.documents(spark, texts), 4, 85, 100)) == {(i, *v) for i, v in want.items()}
 
 
+def test_a_passage_in_common_does_not_ship_rows_to_many_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    glued = [f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(120)]
+    near = [f"{t} more" for t in glued[:10]] + [t.replace("p7", "q7") for t in glued[5:12]] + near_texts(6, 40)
+    texts = glued + near
+    seen, put = {}, nj.written
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(nj, "written", lambda df, name="table": seen.setdefault(name, put(df, name)))
+    want = brute.jaccard(list(enumerate(texts)), 5, 80, 100)
+    # repeated rows count once in the order of shingles
+    assert result(nj.ngram_jaccard_join(brute.documents(spark, texts + texts[:3], [*range(len(texts)), 0, 1, 2]))) == {(i, *v) for i, v in want.items()}
+    members = {r["doc_id"]: r["cut"] for name in ("members", "finer") if name in seen for r in seen[name].collect() if name == "finer" or "finer" not in seen or r["cut"] == 1}
+    assert max(members.values()) <= 5 and sum(members.values()) < 2 * len(texts)
+
+
+def test_texts_that_share_an_id_are_ranked_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    df = brute.documents(spark, [a, b, f"{a} end", f"{b} end"], [1, 1, 2, 3])
+    rows = df.select("doc_id", "text").mapInArrow(nj._rows(5), "doc_id long, body binary")
+    assert {(r["node"], r["root"]) for r in nj.rare_blocks(rows, 80, 100).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_nulls_repeats_and_empty(spark):
     df = brute.documents(spark, ["a b c d e", "a b c d e", "a b c d e", "q"], [5, 5, None, None])
     rows = sorted(result(nj.ngram_jaccard_join(df, 4, 85, 100)), key=str)
