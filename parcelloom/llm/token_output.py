@@ -103,8 +103,11 @@ class TextEncoder:
             return self._one_by_one(column.fill_null("").to_pylist())
         found = list(tk.words(column))
         new: dict[int, bytes] = {}
+        # words are looked up once for each group of texts, in the order of what is known
+        places = []
         for w in found:
-            h, first = np.unique(w.hash, return_index=True)
+            h, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+            places.append((h, place))
             fresh = ~self._knows(h)
             for x, i in zip(h[fresh].tolist(), first[fresh].tolist()):
                 if x not in new:
@@ -116,8 +119,8 @@ class TextEncoder:
             h = np.sort(np.array(list(new), dtype=np.uint64))
             self._learn(h, [new[x] for x in h.tolist()])
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for w in found:
-            at = np.searchsorted(self.known, w.hash)
+        for w, (h, place) in zip(found, places):
+            at = np.searchsorted(self.known, h)[place]
             if len(at) and not tk.same_bytes(w.data, w.start, w.end, self.spelled, self.at[at], self.size[at]).all():
                 return self._one_by_one(column.fill_null("").to_pylist())
             begin, number = self.begin[at].astype(np.int64), self.number[at].astype(np.int64)

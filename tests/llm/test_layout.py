@@ -328,3 +328,23 @@ def test_many_sources_are_mixed_alike(spark, monkeypatch):
     assert sorted(map(str, mixing.mix(df).collect())) == few
     with pytest.raises(ValueError):
         mixing.mix(df, lambda names: dict.fromkeys(names, 1))
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t, asked, search = token_output.TextEncoder(path), Tokenizer.from_file(path), [], np.searchsorted
+    texts = ["some words again " * 500, None, "again others"]
+
+    def counted(a, v, *more):
+        asked.extend([np.size(v)] if a is e.known else [])
+        return search(a, v, *more)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    ids, n = e.encode(pa.array(texts))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    assert asked and max(asked) <= 4
