@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from parcelloom.operators import components
+from parcelloom.operators import components, rollup
 
 PATHS = [list(range(200)), list(range(499, 299, -1))]  # one in the order of its numbers, one against it
 
@@ -33,3 +34,33 @@ def test_components_of_random_edges(spark, monkeypatch, local):
     nodes = spark.createDataFrame([(v,) for v in least], "node long")
     found = components.component_labels(nodes, spark.createDataFrame(edges, "a long, b long"), [])
     assert {r["node"]: r["root"] for r in found.collect()} == least
+
+
+def test_rows_are_numbered_in_many_tasks(spark):
+    keys = [None, *(("a", "b", "b", "b")[i % 4] for i in range(3000))]  # most rows are of one group
+    df = spark.createDataFrame([(k, (i * 7919) % 3001, f"x{i}") for i, k in enumerate(keys)], "k string, v int, name string").repartition(7)
+    held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {c: spark.conf.get(c) for c in held}
+    for c, v in held.items():
+        spark.conf.set(c, v)
+    try:
+        out = rollup.row_index(df, "k", ["v"], "n")
+        assert out.dtypes == [*df.dtypes, ("n", "int")]
+        tasks = out.groupBy(F.input_file_name()).count().collect()
+        assert len(tasks) >= 7 and max(r["count"] for r in tasks) < 1000
+        assert rollup.row_index(df.where("v < 0"), "k", ["v"]).count() == 0
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    rows = sorted(out.collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in rows] == list(range(3001))
+    assert [(r["k"], r["v"]) for r in rows] == sorted(((r["k"], r["v"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+
+
+def test_a_map_is_not_joined_in_one_task(spark):
+    # numbers of groups are offsets of a single task: the map must not be joined to them there
+    from parcelloom.operators import topology
+    from parcelloom.plans.gridmap import grid_map
+
+    plan = topology.rook_edges(grid_map(spark, "/root/testdata/sf0.001").segments())._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Exchange hashpartitioning(_w0" in plan
