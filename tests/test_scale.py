@@ -1,5 +1,6 @@
 """What large maps need: rounds, tasks and memory that don't grow with their shape."""
 
+import pickle
 import random
 import tracemalloc
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcelloom.operators import components, rollup
+from parcelloom.operators import components, rollup, search
 from parcelloom.sources import wkb
 
 PATHS = [list(range(200)), list(range(499, 299, -1))]  # one in the order of its numbers, one against it
@@ -95,3 +96,19 @@ def test_wkb_columns_take_no_object_for_each_point():
         assert tracemalloc.get_traced_memory()[1] < 190e6
     finally:
         tracemalloc.stop()
+
+
+def test_a_graph_is_sent_as_a_place_in_the_shared_folder(spark):
+    n = 3000
+    units = spark.range(n).selectExpr("cast(id as int) as idx", "id % 9 as pop").repartition(3)
+    one = spark.range(n - 1).selectExpr("cast(id as int) as src", "cast(id + 1 as int) as dst", "cast(id as double) as w")
+    edges = one.unionByName(one.selectExpr("dst as src", "src as dst", "w")).repartition(3)
+    outer = units.where("idx % 2 = 0").selectExpr("idx", "2.0D as outer_perimeter_m")
+    graph = search.Graph.collect(units, edges, outer, ["pop"])
+    assert len(pickle.dumps(graph)) < 1000 and not {"near", "outer", "series"} & set(vars(graph))
+    assert [graph.near[i] for i in (0, 1, 2998, 2999)] == [[(1, 0.0)], [(0, 0.0), (2, 1.0)], [(2997, 2997.0), (2999, 2998.0)], [(2998, 2998.0)]]
+    assert list(graph.outer) == [2.0, 0.0] * 1500 and list(graph.series["pop"]) == [float(i % 9) for i in range(n)]
+    assert len(pickle.dumps(graph)) < 1000
+    with pytest.raises(ValueError):
+        search.Graph.collect(units.where("idx <> 7"), edges, outer, ["pop"])
+    assert list(search.Graph.collect(units.where("idx = 0"), edges.where("src < 0"), outer, []).near[0]) == []
